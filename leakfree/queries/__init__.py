@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("ctes", "adapters")
+MODULES = ("ctes", "adapters", "projections")
 
 
 def load():
