@@ -85,7 +85,7 @@ def form_before(scored: DataFrame, entity: str, cut: int, window: int, value: st
     return recent.groupBy(entity).agg(round_even(F.avg(value), 2).alias("pred"))
 
 
-def running_mean(df: DataFrame, value: str, entity: Sequence[str], order: Sequence[str] = ORDER) -> Column:
+def running_mean(value: str, entity: Sequence[str], order: Sequence[str] = ORDER) -> Column:
     """Mean through the current row."""
     w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return F.avg(value).over(w)
@@ -105,7 +105,7 @@ def absence_streaks(df: DataFrame, entity: str, period: str, last_period: Column
     return spread.select(entity, period, streak.cast("int").alias("absent_streak"), (streak >= injured_after).alias("injured"))
 
 
-def seed_unseen(df: DataFrame, value: str, prior: str, entity: Sequence[str], order: Sequence[str] = ORDER) -> Column:
+def seed_unseen(value: str, prior: str, entity: Sequence[str], order: Sequence[str] = ORDER) -> Column:
     """The value, or the prior for entities that have never had a value before this row."""
     before = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.max(F.col(value).isNotNull()).over(before)

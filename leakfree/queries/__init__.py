@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("ctes", "adapters", "projections")
+MODULES = ("ctes", "adapters", "projections", "windows")
 
 
 def load():
