@@ -66,7 +66,9 @@ def cross_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str) -> Data
 def mirrored_pairs(a: DataFrame, b: DataFrame, period: Sequence[str], team: str, opp: str, x: str) -> DataFrame:
     """Pair sums of opponents: (team, opp) of ``a`` meets (opp, team) of ``b``; both orders count."""
     left = _moments(a, [*period, team, opp], x, "a")
-    right = _moments(b, [*period, team, opp], x, "b").withColumnsRenamed({team: opp, opp: team})
+    right = _moments(b, [*period, team, opp], x, "b")
+    swapped = [F.col(opp).alias(team), F.col(team).alias(opp)]
+    right = right.select(*period, *swapped, "nb", "sb", "qb")
     return _cross_sums(left.join(right, [*period, team, opp]))
 
 
@@ -92,3 +94,28 @@ def pair_correlation(pairs: DataFrame, group: Sequence[str] = (), min_pairs: int
     spread = F.sqrt((n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy))
     rho = F.when(n >= min_pairs, F.coalesce(F.try_divide(cov, spread), F.lit(0.0))).otherwise(F.lit(0.0))
     return t.select(*group, n.cast("bigint").alias("n_pairs"), rho.alias("rho"))
+
+
+def estimate_relations(resid: DataFrame, value: str = "residual", min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """Residual correlation of each of the six relationship classes."""
+    from .ordered import row_numbers
+
+    qb = resid.where(F.col("position") == "QB")
+    pc = resid.where(F.col("position").isin(*PASS_CATCHERS))
+    rb = resid.where(F.col("position") == "RB")
+    team = ["season", "week", "recent_team"]
+    numbered = row_numbers(pc.select(*team, "player_id", value), team, [F.col("player_id").asc()], "__rn")
+    sized = numbered.withColumn("__r", F.col("__rn") - 1).join(numbered.groupBy(*team).agg(F.count("*").alias("__size")), team)
+    classes = {
+        "qb_pc": cross_pairs(qb, pc, team, value),
+        "pc_pc": ordered_pairs(sized, team, value, "__r", "__size"),
+        "rb_pc": cross_pairs(rb, pc, team, value),
+        "qb_rb": cross_pairs(qb, rb, team, value),
+        "opp_qb_pc": mirrored_pairs(qb, pc, ["season", "week"], "recent_team", "opponent_team", value),
+        "opp_pc_pc": mirrored_pairs(pc, pc, ["season", "week"], "recent_team", "opponent_team", value),
+    }
+    pairs = None
+    for name, p in classes.items():
+        labelled = p.withColumn("relation", F.lit(name))
+        pairs = labelled if pairs is None else pairs.unionByName(labelled)
+    return pair_correlation(pairs, ["relation"], min_pairs)

@@ -91,9 +91,9 @@ def competition_rank(
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """Exact row numbers from 1 under a total order, without one task per group."""
-    return ordered_prefix(df, group, order, {"__rn": F.lit(1)}).withColumn(
-        out, (F.col("__rn") + 1).cast("int")
-    ).drop("__rn")
+    return ordered_prefix(df, group, order, {"__before": F.lit(1)}).withColumn(
+        out, (F.col("__before") + 1).cast("int")
+    ).drop("__before")
 
 
 def quantile_name(p: float) -> str:

@@ -4,3 +4,11 @@ from __future__ import annotations
 
 # Right-open age bins of the calibration.
 AGE_EDGES = (24, 26, 28, 30)
+
+
+def age_group(position):
+    """Positions that age alike share a calibration group."""
+    from pyspark.sql import functions as F
+
+    p = F.col(position) if isinstance(position, str) else position
+    return F.when(p == "RB", "RB").when(p == "QB", "QB").otherwise("WRTE")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("ctes", "adapters", "projections", "windows")
+MODULES = ("ctes", "adapters", "projections", "windows", "joins", "aggregates")
 
 
 def load():

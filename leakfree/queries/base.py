@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+CUT = 0.4913
+
 CTES: dict[str, str] = {}
 CTE_NEEDS: dict[str, tuple[str, ...]] = {}
 
@@ -52,16 +54,19 @@ def query(name: str, oracle: str | None = None):
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:
-    """Round half up by floor: the same doubles on every engine."""
+    """Snap to a decimal grid, so that sums taken in another order give the same doubles.
+
+    The cut points lie off the halves, where means of decimals often fall exactly.
+    """
     c = F.col(c) if isinstance(c, str) else c
     s = float(10**digits)
-    return F.floor(c * F.lit(s) + F.lit(0.5)).cast("double") / F.lit(s)
+    return F.floor(c * F.lit(s) + F.lit(CUT)).cast("double") / F.lit(s)
 
 
 def q6(expr: str, digits: int = 6) -> str:
     """SQL text of :func:`r6`."""
     s = f"{10**digits}.0::double"
-    return f"(floor(({expr}) * {s} + 0.5::double)::double / {s})"
+    return f"(floor(({expr}) * {s} + {CUT}::double)::double / {s})"
 
 
 def even(expr: str, digits: int) -> str:
