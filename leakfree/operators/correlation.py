@@ -21,6 +21,8 @@ RHO = {
 PASS_CATCHERS = ("WR", "TE")
 MIN_PAIRS = 30
 
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
 
 def relation_rho(team_a, opp_a, pos_a, team_b, opp_b, pos_b, rho: Mapping[str, float] = RHO) -> Column:
     """Correlation assigned to two players; zero unless both are in the same game."""
@@ -87,8 +89,7 @@ def ordered_pairs(numbered: DataFrame, keys: Sequence[str], x: str, rank: str, s
 
 def pair_correlation(pairs: DataFrame, group: Sequence[str] = (), min_pairs: int = MIN_PAIRS) -> DataFrame:
     """Correlation from pair sums; zero where there are too few pairs."""
-    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    t = pairs.groupBy(*group).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names])
+    t = pairs.groupBy(*group).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMS])
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     cov = n * F.col("sxy") - sx * sy
     spread = F.sqrt((n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy))
@@ -97,7 +98,7 @@ def pair_correlation(pairs: DataFrame, group: Sequence[str] = (), min_pairs: int
 
 
 def estimate_relations(resid: DataFrame, value: str = "residual", min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """Residual correlation of each of the six relationship classes."""
+    """Residual correlation of each of the six relationship classes, listed even without pairs."""
     from .ordered import row_numbers
 
     qb = resid.where(F.col("position") == "QB")
@@ -114,8 +115,8 @@ def estimate_relations(resid: DataFrame, value: str = "residual", min_pairs: int
         "opp_qb_pc": mirrored_pairs(qb, pc, ["season", "week"], "recent_team", "opponent_team", value),
         "opp_pc_pc": mirrored_pairs(pc, pc, ["season", "week"], "recent_team", "opponent_team", value),
     }
-    pairs = None
+    nothing = F.array(*[F.struct(F.lit(c).alias("relation"), *[F.lit(0.0).alias(s) for s in SUMS]) for c in classes])
+    pairs = resid.sparkSession.range(1).select(F.inline(nothing))
     for name, p in classes.items():
-        labelled = p.withColumn("relation", F.lit(name))
-        pairs = labelled if pairs is None else pairs.unionByName(labelled)
+        pairs = pairs.unionByName(p.withColumn("relation", F.lit(name)))
     return pair_correlation(pairs, ["relation"], min_pairs)

@@ -15,7 +15,7 @@ from ..operators import rollups as U
 from .base import cte, even, q6, query, r6, sql
 from .joins import depth_chart, line_tables, rho_sql, runs
 from .projections import slate, word_key_sql
-from .windows import adp, residuals, scored, trail
+from .windows import adp, mixed_residuals, residuals, scored, trail
 
 SUMS = ("targets", "carries", "receptions")
 
@@ -503,8 +503,8 @@ OPP = {"opp_qb_pc": "a.position = 'QB' and b.position in ('WR', 'TE')", "opp_pc_
 
 
 @query("a36_correlation_map", sql(" union all ".join(
-    [f"select '{n}' as relation, * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from resid a join resid b using (season, week, recent_team) where {c} and a.player_id {op} b.player_id))" for n, (c, op) in PAIR.items()]
-    + [f"select '{n}', * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from resid a join resid b on a.season = b.season and a.week = b.week and a.recent_team = b.opponent_team and a.opponent_team = b.recent_team where {c}))" for n, c in OPP.items()]), "resid"))
+    [f"select '{n}' as relation, * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from mixed a join mixed b using (season, week, recent_team) where {c} and a.player_id {op} b.player_id))" for n, (c, op) in PAIR.items()]
+    + [f"select '{n}', * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from mixed a join mixed b on a.season = b.season and a.week = b.week and a.recent_team = b.opponent_team and a.opponent_team = b.recent_team where {c}))" for n, c in OPP.items()]), "mixed"))
 def a36(spark, d):
-    m = C.estimate_relations(residuals(spark, d))
+    m = C.estimate_relations(mixed_residuals(spark, d))
     return m.select("relation", "n_pairs", r6("rho", 4).alias("rho"))

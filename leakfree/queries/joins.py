@@ -13,7 +13,7 @@ from ..operators import rollups as U
 from ..operators import trailing as T
 from .base import cte, q6, query, r6, sql
 from .projections import letter_key_sql, word_key_sql
-from .windows import adp, residuals, scored
+from .windows import adp, mixed_residuals, residuals, scored
 
 KEYS = ["player_id", "season", "week"]
 
@@ -103,22 +103,22 @@ def rho_sql(n: str, rho: str) -> str:
 
 
 @query("j6_team_pairs", sql(f"""
-select 'qb_pc' as relation, * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from resid a join resid b using (season, week, recent_team)
+select 'qb_pc' as relation, * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from mixed a join mixed b using (season, week, recent_team)
   where a.position = 'QB' and b.position in ('WR', 'TE') and a.player_id <> b.player_id))
-union all select 'pc_pc', * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from resid a join resid b using (season, week, recent_team)
-  where a.position in ('WR', 'TE') and b.position in ('WR', 'TE') and a.player_id < b.player_id))""", "resid"))
+union all select 'pc_pc', * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from mixed a join mixed b using (season, week, recent_team)
+  where a.position in ('WR', 'TE') and b.position in ('WR', 'TE') and a.player_id < b.player_id))""", "mixed"))
 def j6(spark, d):
-    m = C.estimate_relations(residuals(spark, d))
+    m = C.estimate_relations(mixed_residuals(spark, d))
     return m.where(F.col("relation").isin("qb_pc", "pc_pc")).select("relation", "n_pairs", r6("rho", 4).alias("rho"))
 
 
 @query("j7_mirrored_pairs", sql(f"""
-select 'opp_qb_pc' as relation, * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from resid a join resid b
+select 'opp_qb_pc' as relation, * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from mixed a join mixed b
   on a.season = b.season and a.week = b.week and a.recent_team = b.opponent_team and a.opponent_team = b.recent_team where a.position = 'QB' and b.position in ('WR', 'TE')))
-union all select 'opp_pc_pc', * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from resid a join resid b
-  on a.season = b.season and a.week = b.week and a.recent_team = b.opponent_team and a.opponent_team = b.recent_team where a.position in ('WR', 'TE') and b.position in ('WR', 'TE')))""", "resid"))
+union all select 'opp_pc_pc', * from ({rho_sql('', '')} from (select a.residual as x, b.residual as y from mixed a join mixed b
+  on a.season = b.season and a.week = b.week and a.recent_team = b.opponent_team and a.opponent_team = b.recent_team where a.position in ('WR', 'TE') and b.position in ('WR', 'TE')))""", "mixed"))
 def j7(spark, d):
-    m = C.estimate_relations(residuals(spark, d))
+    m = C.estimate_relations(mixed_residuals(spark, d))
     return m.where(F.col("relation").isin("opp_qb_pc", "opp_pc_pc")).select("relation", "n_pairs", r6("rho", 4).alias("rho"))
 
 

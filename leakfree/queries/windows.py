@@ -30,6 +30,13 @@ def residuals(spark, d):
     return t.withColumn("pred", r6("fp_r3")).withColumn("residual", r6(F.col("fp") - F.col("pred")))
 
 
+def mixed_residuals(spark, d):
+    """Residuals with the positions spread over every team."""
+    k = F.col("player_id") % 4
+    return residuals(spark, d).withColumn(
+        "position", F.when(k == 0, "QB").when(k == 1, "RB").when(k == 2, "WR").otherwise("TE"))
+
+
 def frame(n):
     return f"rows between {n} preceding and 1 preceding"
 
@@ -40,6 +47,8 @@ select *, avg(fp) over (partition by player_id order by season, week {frame(3)})
 cte("resid", f"""
 select *, {q6('fp - pred')} as residual from (select *, {q6('fp_r3')} as pred from trail where fp_r3 is not null)""", ("trail",))
 
+cte("mixed", "select * replace (case player_id % 4 when 0 then 'QB' when 1 then 'RB' when 2 then 'WR' else 'TE' end as position) from resid", ("resid",))
+
 W1_COLS = ["fp", "targets", "receiving_yards", "receiving_epa"]
 
 
