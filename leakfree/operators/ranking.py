@@ -86,11 +86,12 @@ def upside_flags(board: DataFrame, shape: DataFrame) -> DataFrame:
     The flags only depend on the first ranks of a position, so ranks are looked up in tables of the
     best distinct values; a value beyond them has a rank beyond every threshold.
     """
-    b = board.join(shape.select("player_id", "u_ceiling", "u_floor"), "player_id", "left")
+    base = board.join(shape.select("player_id", "u_ceiling", "u_floor"), "player_id", "left")
+    b = base
     far = SLEEPER_CEILING_RANK + SLEEPER_GAP
     for c, k, out in (("u_ceiling", SLEEPER_CEILING_RANK, "__ceil"), ("u_floor", ANCHOR_FLOOR_RANK, "__floor"),
                       ("proj", far, "__proj")):
-        b = b.join(top_values(b, ["position"], c, k, out), ["position", c], "left")
+        b = b.join(top_values(base, ["position"], c, k, out), ["position", c], "left")
     proj_rank = F.coalesce("__proj", F.when(F.col("proj").isNotNull(), far + 1))
     ceil_rank = F.col("__ceil")
     sleeper = (ceil_rank <= SLEEPER_CEILING_RANK) & (proj_rank >= SLEEPER_PROJ_RANK) & (proj_rank - ceil_rank >= SLEEPER_GAP)

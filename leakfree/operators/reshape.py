@@ -41,7 +41,7 @@ def implied_totals(games: DataFrame, keep: Sequence[str] = ("game_id", "season",
 
     def side(team: str, sign: int, is_home: int) -> dict:
         own, other = (total + spread, total - spread) if sign > 0 else (total - spread, total + spread)
-        line = F.col("spread_line") if sign > 0 else -F.col("spread_line")
+        line = F.col("spread_line") if sign > 0 else F.lit(0.0) - F.col("spread_line")
         return {
             "team": team, "team_implied_total": own, "opp_implied_total": other,
             "team_spread": line, "game_total": "total_line", "is_home": F.lit(is_home),

@@ -75,13 +75,14 @@ def allowed_form(scored: DataFrame, windows: Sequence[int], value: str = "fp") -
     return out.select(*keys, *[f"def_{value}_allowed_r{n}" for n in windows])
 
 
-def form_before(scored: DataFrame, entity: str, cut: int, window: int, value: str = "fp", active_since: int | None = None) -> DataFrame:
+def form_before(scored: DataFrame, entity: str, cut: int, window: int, value: str = "fp", active_since: int | None = None,
+                tiebreak: Sequence[str] = ()) -> DataFrame:
     """Mean of the last ``window`` rows strictly before ``cut``, for entities active since a season."""
     prior = scored.where(order_key() < cut)
     if active_since is not None:
         live = prior.groupBy(entity).agg(F.max("season").alias("__last")).where(F.col("__last") >= active_since)
         prior = prior.join(live, entity, "left_semi")
-    recent = top_per_group(prior, [entity], [F.col("season").desc(), F.col("week").desc()], window)
+    recent = top_per_group(prior, [entity], [F.col(c).desc() for c in ("season", "week", *tiebreak)], window)
     return recent.groupBy(entity).agg(round_even(F.avg(value), 2).alias("pred"))
 
 

@@ -17,7 +17,12 @@ from .joins import depth_chart, line_tables, rho_sql, runs
 from .projections import slate, word_key_sql
 from .windows import adp, mixed_residuals, residuals, scored, trail
 
-SUMS = ("targets", "carries", "receptions")
+
+def touches_of(weekly):
+    """Carries and targets per entity and season."""
+    return weekly.where(F.col("season_type") == "REG").groupBy("player_id", "season").agg(
+        F.sum(F.coalesce("carries", F.lit(0.0)) + F.coalesce("targets", F.lit(0.0))).alias("touches"))
+
 
 cte("rollup", """
 select player_id, season, min(position) as position, min(player_display_name) as player, count(*) as games, sum(fp) as fp, sum(targets) as targets, sum(carries) as carries,

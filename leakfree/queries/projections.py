@@ -112,7 +112,7 @@ cte("implied", """
 select game_id, season, week, home_team as team, total_line/2.0 + spread_line/2.0 as team_implied_total,
        total_line/2.0 - spread_line/2.0 as opp_implied_total, spread_line as team_spread, total_line as game_total, 1 as is_home
 from games where spread_line is not null and total_line is not null union all
-select game_id, season, week, away_team, total_line/2.0 - spread_line/2.0, total_line/2.0 + spread_line/2.0, -spread_line, total_line, 0
+select game_id, season, week, away_team, total_line/2.0 - spread_line/2.0, total_line/2.0 + spread_line/2.0, 0.0 - spread_line, total_line, 0
 from games where spread_line is not null and total_line is not null""", ("games",))
 
 
