@@ -95,7 +95,7 @@ def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("o_custkey").cast("bigint").alias("player_id"), F.year("o_orderdate").alias("season"))
         .agg(
             F.count("*").alias("games"),
-            money(F.col("o_totalprice") / 1000).alias("fp"),
+            (money(F.col("o_totalprice")) / 1000).alias("fp"),
             _count(F.col("o_orderstatus") == "F").alias("carries"),
             _count(F.col("o_orderstatus") == "O").alias("targets"),
             (_count(F.col("o_orderpriority") == "1-URGENT") / F.count("*")).alias("tgt_share"),

@@ -34,6 +34,13 @@ def safe_ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(col(num), col(den))
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Aggregate correlation that is null, rather than an error, where a side is constant."""
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = F.when(both, col(a)), F.when(both, col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def zero_if_null(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("double"), F.lit(0.0))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip
+from ..functions.expr import clip, correlation
 from .ordered import competition_rank, group_quantiles, row_numbers
 from .pools import tail_shares
 
@@ -26,7 +26,7 @@ def group_spearman(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataF
     ranked = competition_rank(ranked, group, b, "__rb", descending=False, method="average")
     spread = [F.max(c) > F.min(c) for c in (a, b)]
     g = ranked.groupBy(*group).agg(
-        F.count("*").alias("n"), F.corr("__ra", "__rb").alias("__rho"), (spread[0] & spread[1]).alias("__ok"))
+        F.count("*").alias("n"), correlation("__ra", "__rb").alias("__rho"), (spread[0] & spread[1]).alias("__ok"))
     return g.select(*group, "n", F.when(F.col("__ok"), F.col("__rho")).alias("spearman"))
 
 
@@ -54,7 +54,7 @@ def interval_coverage(evaluated: DataFrame, pool: DataFrame, keys: Sequence[str]
 
 def error_correlation(df: DataFrame, a: str, b: str, actual: str = "fp", group: Sequence[str] = ()) -> DataFrame:
     """Correlation of the errors of two models on the same rows."""
-    return df.groupBy(*group).agg(F.corr(F.col(a) - F.col(actual), F.col(b) - F.col(actual)).alias("error_corr"))
+    return df.groupBy(*group).agg(correlation(F.col(a) - F.col(actual), F.col(b) - F.col(actual)).alias("error_corr"))
 
 
 def ratio_calibration(train: DataFrame, group: Sequence[str], actual: str, guess: str, out: str = "ratio") -> DataFrame:

@@ -58,13 +58,14 @@ def trailing_mean_chunked(df: DataFrame, cols: Sequence[str], windows: Sequence[
     halo = (
         tails.withColumn("__first", F.col("__back") == F.max("__back").over(in_chunk))
         .withColumn("__prev", F.collect_list(F.struct(*plain)).over(earlier))
-        .where("__first").select(*entity, chunk, F.inline("__prev")).withColumn("__halo", F.lit(True))
+        .where("__first").select(*entity, chunk, F.posexplode("__prev").alias("__place", "__row"))
+        .select(*entity, chunk, "__place", "__row.*").withColumn("__halo", F.lit(True))
     )
     whole = df.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
-    borrowed_first = [F.col("__halo").desc(), *[F.col(o) for o in order]]
+    borrowed_first = [F.col("__halo").desc(), F.col("__place"), *[F.col(o) for o in order]]
     base = Window.partitionBy(*entity, chunk).orderBy(*borrowed_first)
     made = {c + suffix.format(n=n): _mean(c, base.rowsBetween(-n, -1), min_rows) for n in windows for c in cols}
-    return whole.withColumns(made).where(~F.col("__halo")).drop("__halo")
+    return whole.withColumns(made).where(~F.col("__halo")).drop("__halo", "__place")
 
 
 def allowed_form(scored: DataFrame, windows: Sequence[int], value: str = "fp") -> DataFrame:

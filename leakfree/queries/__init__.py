@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("ctes", "adapters", "projections", "windows", "joins", "aggregates", "topset", "models")
+MODULES = ("ctes", "adapters", "projections", "windows", "joins", "aggregates", "topset", "models", "sources")
 
 
 def load():

@@ -47,7 +47,7 @@ group by l_suppkey, year(l_shipdate), month(l_shipdate)""", ("supp",))
 cte("seasons", f"""
 select cast(o_custkey as bigint) as player_id, cast(year(o_orderdate) as int) as season,
        min({SEGMENT_CASE}) as position, min(c_name) as player, count(*) as games,
-       cast(sum(cast(o_totalprice / 1000 as decimal(18,2))) as double) as fp, cast(min(c_nationkey) as int) as team,
+       cast(sum(cast(o_totalprice as decimal(18,2))) as double) / 1000 as fp, cast(min(c_nationkey) as int) as team,
        {_n("o_orderstatus = 'F'")} as carries, {_n("o_orderstatus = 'O'")} as targets,
        {_n("o_orderpriority = '1-URGENT'")} / count(*) as tgt_share
 from orders join customer on o_custkey = c_custkey
