@@ -125,10 +125,11 @@ def player_context(agg: DataFrame, team: DataFrame, adp: DataFrame, depth: DataF
         "blocked_by_fp": round_even(F.when(leads, 0.0).otherwise(F.col("top_score")), 1)})
     gone = last.join(then, "player_id").join(now, "player_id", "left").where(~F.col("prior_team").eqNullSafe(F.col("team")))
     vacated = gone.groupBy(F.col("prior_team").alias("team"), "position").agg(F.sum("fp").alias("vacated_fp"))
-    coach = last_home_value(games, "home_coach", "coach")
-    current = coach.where(F.col("season") == target_season).select("team", "coach")
-    before = coach.where(F.col("season") == prior).select("team", F.col("coach").alias("__prev"))
-    new_coach = current.join(before, "team").select("team", (F.col("coach") != F.col("__prev")).alias("new_coach"))
+    coach = last_home_value(games.where(F.col("season").isin(prior, target_season)), "home_coach", "coach")
+    new_coach = coach.groupBy("team").agg(
+        F.max(F.when(F.col("season") == target_season, F.col("coach"))).alias("__now"),
+        F.max(F.when(F.col("season") == prior, F.col("coach"))).alias("__prev"),
+    ).select("team", (F.col("__now") != F.col("__prev")).alias("new_coach"))
     out = (
         room.join(vacated, ["team", "position"], "left").join(then, "player_id", "left")
         .join(depth, "player_id", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import col
+from ..session import stored
 
 # Residual correlation by relationship, and the pass-catching positions.
 RHO = {
@@ -101,6 +102,8 @@ def estimate_relations(resid: DataFrame, value: str = "residual", min_pairs: int
     """Residual correlation of each of the six relationship classes, listed even without pairs."""
     from .ordered import row_numbers
 
+    sides = ["season", "week", "recent_team", "opponent_team", "position", "player_id", value]
+    resid = stored(resid.where(F.col("position").isin("QB", "RB", *PASS_CATCHERS)).select(*sides))
     qb = resid.where(F.col("position") == "QB")
     pc = resid.where(F.col("position").isin(*PASS_CATCHERS))
     rb = resid.where(F.col("position") == "RB")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, correlation
-from .ordered import competition_rank, group_quantiles, row_numbers
+from ..session import stored
+from .ordered import group_quantiles, null_safe_join, rank_table, row_numbers
 from .pools import tail_shares
 
 
@@ -21,10 +22,12 @@ def error_metrics(pred: DataFrame, actual: str = "fp", guess: str = "pred", grou
 
 def group_spearman(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
     """Rank correlation per group with mean ranks for ties; null where a side is constant."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = competition_rank(rows, group, a, "__ra", descending=False, method="average")
-    ranked = competition_rank(ranked, group, b, "__rb", descending=False, method="average")
-    spread = [F.max(c) > F.min(c) for c in (a, b)]
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    rows = stored(df.where(both).select(*group, F.col(a).alias("__a"), F.col(b).alias("__b")))
+    ra = rank_table(rows, group, "__a", "__ra", descending=False, method="average")
+    rb = rank_table(rows, group, "__b", "__rb", descending=False, method="average")
+    ranked = null_safe_join(null_safe_join(rows, ra, [*group, "__a"]), rb, [*group, "__b"])
+    spread = [F.max(c) > F.min(c) for c in ("__a", "__b")]
     g = ranked.groupBy(*group).agg(
         F.count("*").alias("n"), correlation("__ra", "__rb").alias("__rho"), (spread[0] & spread[1]).alias("__ok"))
     return g.select(*group, "n", F.when(F.col("__ok"), F.col("__rho")).alias("spearman"))

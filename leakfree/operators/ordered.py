@@ -6,8 +6,8 @@ share of all rows the operators below are used instead: rows are first collapsed
 the partitions are stitched together with a table of at most ``groups + partitions`` rows. The
 results are exact.
 
-The range-partitioned rows are checkpointed: the partition a row fell into is data from there
-on, so a lost executor or a re-planned branch cannot see other bounds.
+The range-partitioned rows are written to the shared folder with the partition they fell into: the
+bounds are data from there on, so neither a lost executor nor a second reader can see other ones.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import stored
 
 _PART = "__part"
 
@@ -36,7 +36,7 @@ def ordered_prefix(
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group]
-    ranged = checkpointed(
+    ranged = stored(
         df.withColumns({f"__m_{m}": c for m, c in measures.items()})
         .repartitionByRange(n, *keys, *order)
         .withColumn(_PART, F.spark_partition_id())
@@ -49,7 +49,7 @@ def ordered_prefix(
             F.coalesce(F.sum(f"__t_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures
         ])
     )
-    joined = _null_safe_join(ranged, offsets, [*group, _PART], "inner")
+    joined = null_safe_join(ranged, offsets, [*group, _PART], "inner")
     inside = Window.partitionBy(*group, _PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = joined.withColumns({
         m: F.col(f"__o_{m}") + F.coalesce(F.sum(f"__m_{m}").over(inside), F.lit(0)) for m in measures
@@ -57,7 +57,8 @@ def ordered_prefix(
     return out.drop(_PART, *[f"__{p}_{m}" for p in "mo" for m in measures])
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null meets null; the right side's keys are dropped."""
     renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
     condition = F.lit(True)
     for k in keys:
@@ -72,10 +73,10 @@ def value_counts_before(df: DataFrame, group: Sequence[str], value: str, descend
     return ordered_prefix(counts, group, [order], {"before": F.col("cnt")})
 
 
-def competition_rank(
+def rank_table(
     df: DataFrame, group: Sequence[str], value: str, out: str, descending: bool = True, method: str = "min",
 ) -> DataFrame:
-    """Rank within the group; ties share the smallest (``min``) or mean (``average``) rank; nulls unranked."""
+    """The rank of every distinct (group, value); ties share the smallest (``min``) or mean (``average``) rank."""
     table = value_counts_before(df, group, value, descending)
     if method == "min":
         rank = (F.col("before") + 1).cast("int")
@@ -83,10 +84,15 @@ def competition_rank(
         rank = F.col("before") + (F.col("cnt") + 1) / 2.0
     else:
         raise ValueError(f"unknown rank method {method!r}")
-    table = table.select(*group, value, rank.alias(out))
-    if group:
-        return _null_safe_join(df, table, [*group, value], "left")
-    return df.join(table, value, "left")
+    return table.select(*group, value, rank.alias(out))
+
+
+def competition_rank(
+    df: DataFrame, group: Sequence[str], value: str, out: str, descending: bool = True, method: str = "min",
+) -> DataFrame:
+    """Every row with its rank within the group; rows without a value are unranked."""
+    table = rank_table(df, group, value, out, descending, method)
+    return null_safe_join(df, table, [*group, value], "left")
 
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
@@ -107,7 +113,7 @@ def group_quantiles(
     names = list(names) if names else [quantile_name(p) for p in probs]
     table = value_counts_before(df, group, value)
     sizes = table.groupBy(*group).agg(F.sum("cnt").alias("__n"))
-    placed = _null_safe_join(table, sizes, group, "inner") if group else table.withColumn(
+    placed = null_safe_join(table, sizes, group, "inner") if group else table.withColumn(
         "__n", sizes.scalar()
     )
 

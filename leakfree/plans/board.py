@@ -13,7 +13,7 @@ from ..operators.ranking import (
     DEFAULT_LEAGUE, consensus_delta, open_competition, schedule_rank, score_board, sort_match, upside_bonus, upside_flags,
 )
 from ..operators.reports import status_penalty
-from ..session import checkpointed
+from ..session import stored
 
 
 def combine(veterans: DataFrame, entrants: DataFrame | None, entrant_discount: float = 1.0) -> DataFrame:
@@ -50,7 +50,7 @@ def draft_board(veterans: DataFrame, entrants: DataFrame | None = None, league:
         proj = reconcile_rooms(proj, team, chart, adp)
     if upside_weight and shape is not None:
         proj = upside_bonus(proj.join(shape.select("player_id", "u_ceiling"), "player_id", "left"), "u_ceiling", upside_weight).drop("u_ceiling")
-    return checkpointed(score_board(checkpointed(proj), league))
+    return stored(score_board(stored(proj), league))
 
 
 def with_context(board: DataFrame, league: Mapping, avail: DataFrame, shape: DataFrame, team: DataFrame, ahead: DataFrame,
@@ -62,8 +62,8 @@ def with_context(board: DataFrame, league: Mapping, avail: DataFrame, shape: Dat
     """
     known = board.select("player_id", "player", "position", "proj").join(
         avail.select("player_id", "status", "live_code"), "player_id", "left")
-    b = checkpointed(score_board(checkpointed(status_penalty(known).drop("status", "live_code")), league))
-    b = checkpointed(upside_flags(b, shape))
+    b = stored(score_board(stored(status_penalty(known).drop("status", "live_code")), league))
+    b = stored(upside_flags(b, shape))
     b = schedule_rank(b, team, ahead)
     b = open_competition(b, shares)
     b = b.join(highs, "player_id", "left").withColumn("career_year", F.coalesce("career_year", F.lit(False)))

@@ -10,7 +10,7 @@ from ..functions.odds import fair_probability
 from ..operators.pools import tail_shares
 from ..operators.reshape import INDOOR_ROOFS, scores_by_team
 from ..operators.trailing import trailing_mean_chunked
-from ..session import checkpointed
+from ..session import stored
 from .projection import GradientBoosting, walk_forward
 
 FORM_WINDOW, FORM_MIN_GAMES = 8, 3
@@ -81,7 +81,7 @@ def game_forecasts(games: DataFrame, season: int, week: int, model=None, refit:
 
     The residuals come from a walk-forward over those seasons, so they are out of sample.
     """
-    table = checkpointed(game_table(games))
+    table = stored(game_table(games))
     earlier = table.where((order_key() < season * 100 + week) & F.col("total_points").isNotNull())
     test = table.where(order_key() == season * 100 + week)
     recent = [r["season"] for r in earlier.select("season").distinct().orderBy(F.col("season").desc()).limit(2).collect()]

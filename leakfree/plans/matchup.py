@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import hash_unit, round_even
 from ..operators.correlation import PASS_CATCHERS, RHO
 from ..operators.pools import bin_edges, inverse_cdf, ranked_pool, with_bins
+from ..session import stored
 
 CELL = ["position", "bin"]
 ALL = "*"
@@ -27,10 +28,11 @@ def residual_pools(resid: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The common pool stands in for positions without history.
     """
-    edges = bin_edges(resid)
+    resid = stored(resid.select("position", "pred", "residual", "player_id", "season", "week"))
+    edges = stored(bin_edges(resid))
     cells = with_bins(resid, edges).select("position", "bin", "residual", "player_id", "season", "week")
     whole = cells.withColumns({"position": F.lit(ALL), "bin": F.lit(-1)})
-    return edges, ranked_pool(cells.unionByName(whole), CELL)
+    return edges, stored(ranked_pool(cells.unionByName(whole), CELL))
 
 
 def place_in_pools(players: DataFrame, edges: DataFrame, pools: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from ..plans import projection as PR
 from ..plans import props as PP
 from ..plans import rookies as RK
 from ..plans import season as SE
-from ..session import checkpointed
+from ..session import stored
 from .aggregates import adp, avail, plays, statuses, teams, touches_of
 from .base import cte, even, q6, query, r6, sql
 from .joins import depth_chart, difficulty
@@ -128,7 +128,7 @@ def m4(spark, d):
 @query("m4_walk_forward_boosting")
 def m4b(spark, d):
     f, cols = model_features(spark, d)
-    f = checkpointed(f)
+    f = stored(f)
     return PR.walk_forward(f, PR.GradientBoosting(cols, iterations=5, depth=4), [1999, 2000], refit="season", min_train_rows=100)
 
 
@@ -254,14 +254,14 @@ e as (select *, p * {profit_sql('over_odds')} - (1 - p) as eo, (1 - p) * {profit
 select * from (select player_id, season, week, market, line::double as line, {even('pred', 1)} as proj, {even('p', 3)} as model_p_over, {even('fair', 3)} as market_p_over, {even('p - fair', 3)} as edge,
   case when eo >= eu then 'over' else 'under' end as bet, cast(case when eo >= eu then over_odds else under_odds end as int) as odds, {even('greatest(eo, eu)', 3)} as ev_per_1u from e) where ev_per_1u > 0""", "lines", "stat_pred").replace(")\n, pool", "),\npool"))
 def m9(spark, d):
-    preds = checkpointed(stat_predictions(spark, d))
+    preds = stored(stat_predictions(spark, d))
     proj = preds.where(F.col("season") == 2000).select(*KEYS, "market", "pred")
     return PP.price_lines(market_lines(preds), proj, preds.where(F.col("season") == 1999))
 
 
 @query("m9_prop_accuracy")
 def m9b(spark, d):
-    preds = checkpointed(stat_predictions(spark, d))
+    preds = stored(stat_predictions(spark, d))
     return PP.prop_accuracy(preds.where(F.col("season") == 2000).drop("residual"), preds.where(F.col("season") == 1999))
 
 
@@ -300,7 +300,7 @@ select game_id, season, week, away_team || ' @ ' || home_team as game, {even('to
   case when pred_margin > spread_line then home_team else away_team end as spread_lean, {even('c', 3)} as model_home_cover, {even(fair_sql('home_spread_odds', 'away_spread_odds'), 3)} as mkt_home_cover,
   {even('w', 3)} as model_home_win, {even(fair_sql('home_moneyline', 'away_moneyline'), 3)} as mkt_home_win, case when w >= 0.5 then home_team else away_team end as ml_lean from q""", "gpred").replace(")\n, t as", "),\nt as"))
 def p23(spark, d):
-    t = checkpointed(form_predictions(spark, d))
+    t = stored(form_predictions(spark, d))
     last = t.where(F.col("season") == 1999)
     totals = last.select((F.col("total") - F.col("pred_total")).alias("residual"))
     margins = last.select((F.col("result") - F.col("pred_margin")).alias("residual"))
@@ -347,7 +347,7 @@ def m11(spark, d):
 
 @query("m12_project_season")
 def m12(spark, d):
-    f = checkpointed(season_frame(spark, d, career=True, competition=True))
+    f = stored(season_frame(spark, d, career=True, competition=True))
     chart = depth_chart(spark, d)
     starting = SE.starters(chart, U.season_rollup(scored(spark, d)), None, 2000, True)
     model = PR.GradientBoosting([c for c in SE.model_columns(True, False, True) if c in f.columns], "target_fp", iterations=5, depth=3)

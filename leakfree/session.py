@@ -47,10 +47,19 @@ def checkpoint_base(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    checkpoint_base(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "stage", partition: str | None = None) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    This cuts the lineage like a checkpoint and survives the loss of executors; unlike a checkpoint
+    the result is columnar, so later steps read only their columns, and its size is known to the
+    planner, which then broadcasts it only if it is small.
+    """
+    path = scratch_path(df.sparkSession, name)
+    if partition:
+        df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
+    else:
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

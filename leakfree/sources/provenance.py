@@ -34,7 +34,7 @@ def publish(df: DataFrame, path: str, partition: str | None = "season") -> int:
         raise PublishError(f"wrote {seen.get['rows']} rows but read {written} back")
     writer = staged.write.mode("overwrite")
     if partition:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
+        writer = staged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition)
     writer.parquet(path)
     return written
 
