@@ -69,7 +69,7 @@ def apply_calibration(df: DataFrame, table: DataFrame, group: Sequence[str], val
                       bounds: tuple[float, float], ratio: str = "ratio") -> DataFrame:
     """Scale a value toward its group's ratio, clamped and at partial strength; unknown groups stay."""
     pull = 1 + F.lit(strength) * (clip(F.coalesce(ratio, F.lit(1.0)), *bounds) - 1)
-    return df.join(table, list(group), "left").withColumn(value, F.col(value) * pull).drop(ratio)
+    return df.join(stored(table), list(group), "left").withColumn(value, F.col(value) * pull).drop(ratio)
 
 
 Draw = Callable[[Column, Column, Column], Column]

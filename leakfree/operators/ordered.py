@@ -4,7 +4,8 @@ A plain window over (group) puts a whole group into one task. When a group may h
 share of all rows the operators below are used instead: rows are first collapsed to one row per
 (group, value), then spread by a range partitioning over (group, value), and the running sums of
 the partitions are stitched together with a table of at most ``groups + partitions`` rows. The
-results are exact.
+results are exact. Tables of one row per group are written too: their size is then known, and the
+planner broadcasts them when they are small instead of moving large groups to few tasks.
 
 The range-partitioned rows are written to the shared folder with the partition they fell into: the
 bounds are data from there on, so neither a lost executor nor a second reader can see other ones.
@@ -49,7 +50,7 @@ def ordered_prefix(
             F.coalesce(F.sum(f"__t_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures
         ])
     )
-    joined = null_safe_join(ranged, offsets, [*group, _PART], "inner")
+    joined = null_safe_join(ranged, stored(offsets), [*group, _PART], "inner")
     inside = Window.partitionBy(*group, _PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = joined.withColumns({
         m: F.col(f"__o_{m}") + F.coalesce(F.sum(f"__m_{m}").over(inside), F.lit(0)) for m in measures
@@ -112,7 +113,7 @@ def group_quantiles(
     """Exact linearly interpolated quantiles, one row per group and one column per probability."""
     names = list(names) if names else [quantile_name(p) for p in probs]
     table = value_counts_before(df, group, value)
-    sizes = table.groupBy(*group).agg(F.sum("cnt").alias("__n"))
+    sizes = stored(table.groupBy(*group).agg(F.sum("cnt").alias("__n")))
     placed = null_safe_join(table, sizes, group, "inner") if group else table.withColumn(
         "__n", sizes.scalar()
     )

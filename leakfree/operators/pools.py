@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .ordered import group_quantiles, ordered_prefix, row_numbers
 
 N_BINS = 5
@@ -32,7 +33,7 @@ def bin_of(pred: Column | str, edges: Column | str = "edges") -> Column:
 
 def with_bins(df: DataFrame, edges: DataFrame | None = None, position: str = "position", pred: str = "pred") -> DataFrame:
     """Rows with their bin; positions without edges get a null bin."""
-    table = bin_edges(df, position, pred) if edges is None else edges
+    table = stored(bin_edges(df, position, pred)) if edges is None else edges
     return df.join(table, position, "left").withColumn(
         "bin", F.when(F.col("edges").isNotNull(), bin_of(pred))).drop("edges")
 
@@ -41,14 +42,14 @@ def ranked_pool(resid: DataFrame, keys: Sequence[str], value: str = "residual",
     """The pool as a table: keys, 0-based index in ascending order, value, pool size."""
     order = [F.col(value).asc(), *[F.col(i).asc() for i in ident]]
     ranked = row_numbers(resid.select(*dict.fromkeys([*keys, value, *ident])), keys, order, "__rn")
-    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = stored(ranked.groupBy(*keys).agg(F.count("*").alias("n")))
     indexed = ranked.select(*keys, (F.col("__rn") - 1).cast("bigint").alias("idx"), value)
     return indexed.join(sizes, list(keys)) if keys else indexed.withColumn("n", sizes.select("n").scalar())
 
 
 def inverse_cdf(draws: DataFrame, pool: DataFrame, keys: Sequence[str], u: str, value: str = "residual", out: str = "draw") -> DataFrame:
     """Linearly interpolated quantile of the pool at ``u`` for every draw, by two equi-joins on the index."""
-    sizes = pool.where(F.col("idx") == 0).select(*keys, F.col("n").alias("__n"))
+    sizes = stored(pool.where(F.col("idx") == 0).select(*keys, F.col("n").alias("__n")))
     placed = draws.join(sizes, list(keys)) if keys else draws.withColumn("__n", sizes.select("__n").scalar())
     h = (F.col("__n") - 1) * F.col(u)
     placed = placed.withColumns({"__lo": F.floor(h), "__hi": F.ceil(h), "__w": h - F.floor(h)})
@@ -69,7 +70,7 @@ def tail_shares(queries: DataFrame, pool: DataFrame, keys: Sequence[str], need:
         queries.select(*keys, F.col(need).alias("__x"), F.lit(0).alias("__c")))
     merged = points.where(F.col("__x").isNotNull()).groupBy(*keys, "__x").agg(F.sum("__c").alias("__cnt"))
     counted = ordered_prefix(merged, keys, [F.col("__x").asc()], {"__below": F.col("__cnt")})
-    sizes = pool.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("pool_n"))
+    sizes = stored(pool.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("pool_n")))
     hit = queries.join(counted.withColumnRenamed("__x", need), [*keys, need], "left")
     hit = hit.join(sizes, list(keys), "left") if keys else hit.withColumn("pool_n", sizes.scalar())
     n = F.col("pool_n")

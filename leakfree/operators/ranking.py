@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import flag, round_even
 from ..functions.names import word_key
+from ..session import stored
 from .ordered import competition_rank, group_quantiles, row_numbers, top_per_group, top_values
 
 POSITIONS = ("QB", "RB", "WR", "TE")
@@ -60,18 +61,19 @@ def score_board(proj: DataFrame, league: Mapping = DEFAULT_LEAGUE, value: str =
     """Add value over replacement and auction price.
 
     The replacement row of a position is the one at its replacement rank, or the last one. Only the
-    best rows per position are needed for it, so no position is ever sorted whole.
+    best rows per position are needed for it, so no position is ever sorted whole; the replacement
+    values, one per position of the league, come back as a single map instead of a join on position.
     """
     ranks = replacement_ranks(league)
     deepest = max(ranks.values()) + 1
     best = top_per_group(
         proj.where(F.col(value).isNotNull()), ["position"], [F.col(value).desc(), F.col(ident).asc()], deepest, "__rn")
     limit = F.element_at(F.create_map(*[F.lit(x) for p, r in ranks.items() for x in (p, r + 1)]), F.col("position"))
-    repl = best.where(F.col("__rn") <= limit).groupBy("position").agg(
-        F.max_by(value, "__rn").alias("__repl"))
+    repl = best.where(F.col("__rn") <= limit).groupBy("position").agg(F.max_by(value, "__rn").alias("v")).where(F.col("position").isin(*ranks))
+    by_position = repl.agg(F.map_from_entries(F.collect_list(F.struct("position", "v")))).scalar()
     discount = F.coalesce(F.element_at(
         F.create_map(*[F.lit(x) for kv in STREAM_DISCOUNT.items() for x in kv]), F.col("position")), F.lit(1.0))
-    valued = proj.join(repl, "position", "left").withColumn(
+    valued = proj.withColumn("__repl", F.element_at(by_position, F.col("position"))).withColumn(
         "vor", round_even((F.col(value) - F.col("__repl")) * discount, 1)).drop("__repl")
     surplus = F.greatest(F.coalesce("vor", F.lit(0.0)), F.lit(0.0))
     cents = F.sum((surplus * 10).cast("decimal(18,0)")).cast("double") / 10
@@ -103,7 +105,7 @@ def upside_flags(board: DataFrame, shape: DataFrame) -> DataFrame:
 
 def upside_bonus(board: DataFrame, ceiling: str, weight: float) -> DataFrame:
     """Raise projections whose ceiling lies above the position's median ceiling."""
-    med = group_quantiles(board, ["position"], ceiling, [0.5], ["__med"])
+    med = stored(group_quantiles(board, ["position"], ceiling, [0.5], ["__med"]))
     bonus = F.coalesce(F.col(ceiling) - F.col("__med"), F.lit(0.0)) * SEASON_GAMES
     lifted = round_even(F.greatest(F.col("proj") + F.lit(weight) * bonus, F.lit(0.0)), 1)
     return board.join(med, "position", "left").withColumn("proj", lifted).drop("__med")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, round_even, safe_ratio
+from ..session import stored
 from .joins import strictly_prior
 from .reshape import opponents, team_rows
 
@@ -41,7 +42,7 @@ def relative_to_league(df: DataFrame, value: str, group: Sequence[str], out: str
 
     The group means are a small table joined back, so a large group is only ever aggregated.
     """
-    means = df.groupBy(*group).agg(F.avg(value).alias("__lg"))
+    means = stored(df.groupBy(*group).agg(F.avg(value).alias("__lg")))
     return df.join(means, list(group)).withColumn(
         out, F.col(value) / F.greatest(F.col("__lg"), F.lit(floor))).drop("__lg")
 

@@ -37,7 +37,8 @@ def residual_pools(resid: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def place_in_pools(players: DataFrame, edges: DataFrame, pools: DataFrame) -> DataFrame:
     """The pool cell of every player; an empty or unknown cell falls back to the common pool."""
-    cells = pools.where(F.col("idx") == 0).select(F.col("position").alias("__p"), F.col("bin").alias("__b"), F.lit(True).alias("__known"))
+    cells = stored(pools.where(F.col("idx") == 0).select(
+        F.col("position").alias("__p"), F.col("bin").alias("__b"), F.lit(True).alias("__known")))
     placed = with_bins(players, edges)
     j = placed.join(cells, (placed["position"] == F.col("__p")) & (placed["bin"] == F.col("__b")), "left")
     known = F.coalesce("__known", F.lit(False))
@@ -52,7 +53,8 @@ def independent_draws(players: DataFrame, edges: DataFrame, pools: DataFrame, dr
     The hash depends on player and draw only, so a player has the same draws in every matchup.
     """
     placed = place_in_pools(players, edges, pools)
-    sizes = pools.where(F.col("idx") == 0).select(F.col("position").alias("__cell_position"), F.col("bin").alias("__cell_bin"), F.col("n").alias("__n"))
+    sizes = stored(pools.where(F.col("idx") == 0).select(
+        F.col("position").alias("__cell_position"), F.col("bin").alias("__cell_bin"), F.col("n").alias("__n")))
     spread = placed.join(sizes, ["__cell_position", "__cell_bin"]).withColumn(
         "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     index = F.least(F.floor(hash_unit("player_id", "draw") * F.col("__n")), F.col("__n") - 1)
