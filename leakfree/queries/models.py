@@ -259,7 +259,14 @@ def m9(spark, d):
     return PP.price_lines(market_lines(preds), proj, preds.where(F.col("season") == 1999))
 
 
-@query("m9_prop_accuracy")
+@query("m9_prop_accuracy", sql(f"""
+, pool as (select market, actual - pred as residual from stat_pred where season = 1999),
+b as (select market, quantile_cont(residual, 0.10) as a10, quantile_cont(residual, 0.25) as a25, quantile_cont(residual, 0.75) as a75, quantile_cont(residual, 0.90) as a90 from pool group by 1),
+ev as (select *, actual - pred as need from stat_pred where season = 2000),
+pit as (select e.player_id, e.week, e.market, avg(case when p.residual < e.need then 1.0::double else 0.0::double end) as pit from ev e join pool p using (market) group by all)
+select market, count(*) as n, {even('avg(abs(pred - actual))', 2)} as mae, {even('avg(case when actual >= pred + a10 and actual <= pred + a90 then 1.0::double else 0.0::double end)', 3)} as cover80,
+  {even('avg(case when actual >= pred + a25 and actual <= pred + a75 then 1.0::double else 0.0::double end)', 3)} as cover50, {even('avg(pit)', 3)} as mean_pit
+from ev join b using (market) join pit using (player_id, week, market) group by market""", "stat_pred").replace(")\n, pool", "),\npool"))
 def m9b(spark, d):
     preds = stored(stat_predictions(spark, d))
     return PP.prop_accuracy(preds.where(F.col("season") == 2000).drop("residual"), preds.where(F.col("season") == 1999))
