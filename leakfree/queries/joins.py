@@ -297,8 +297,10 @@ def runs(spark, d):
 @query("j18_strict_pairs", sql("""
 select a.season, a.slot, a.place - b.place as place_delta from runs a join runs b on a.season = b.season and a.slot = b.slot and a.fraction = 0.5 and b.fraction = 0.25""", "runs"))
 def j18(spark, d):
-    r = runs(spark, d)
-    return J.strict_pairs(r.where(F.col("fraction") == 0.5), r.where(F.col("fraction") == 0.25), ["season", "slot"], ["place"])
+    r, keys = runs(spark, d), ["season", "slot"]
+    ours, base = r.where(F.col("fraction") == 0.5), r.where(F.col("fraction") == 0.25)
+    # sparse data leaves slots that only one variant filled
+    return J.strict_pairs(ours.join(base, keys, "left_semi"), base.join(ours, keys, "left_semi"), keys, ["place"])
 
 
 cte("line_chart", """
