@@ -10,12 +10,11 @@ from ..operators import correlation as C
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import ranking as R
-from ..operators import reports as RP
 from ..operators import rollups as U
 from .base import cte, even, q6, query, r6, sql
 from .joins import depth_chart, line_tables, rho_sql, runs
-from .projections import slate, word_key_sql
-from .windows import adp, mixed_residuals, residuals, scored, trail
+from .projections import slate
+from .windows import adp, mixed_residuals, residuals, scored, trail  # adp is shared with the board queries
 
 
 def touches_of(weekly):

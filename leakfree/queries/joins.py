@@ -13,7 +13,7 @@ from ..operators import rollups as U
 from ..operators import trailing as T
 from .base import cte, q6, query, r6, sql
 from .projections import letter_key_sql, word_key_sql
-from .windows import adp, mixed_residuals, residuals, scored
+from .windows import mixed_residuals, residuals, scored
 
 KEYS = ["player_id", "season", "week"]
 

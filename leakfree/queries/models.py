@@ -7,7 +7,6 @@ from ..functions.expr import order_key
 from ..operators import career as K
 from ..operators import joins as J
 from ..operators import lineup as L
-from ..operators import metrics as M
 from ..operators import pools as P
 from ..operators import ranking as R
 from ..operators import rollups as U
@@ -21,11 +20,11 @@ from ..plans import props as PP
 from ..plans import rookies as RK
 from ..plans import season as SE
 from ..session import stored
-from .aggregates import adp, avail, plays, statuses, teams, touches_of
+from .aggregates import adp, avail, plays, teams, touches_of
 from .base import cte, even, q6, query, r6, sql
 from .joins import depth_chart, difficulty
 from .projections import fair_sql, ppr_sql, profit_sql
-from .windows import ORD, lineup_rows, residuals, scored, trail
+from .windows import residuals, scored, trail
 
 KEYS = ["player_id", "season", "week"]
 ROLLED = ("fp", "targets", "receptions", "receiving_yards", "target_share", "receiving_epa", "carries", "rushing_yards", "attempts", "passing_yards", "passing_tds")

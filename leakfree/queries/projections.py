@@ -11,7 +11,7 @@ from ..operators import correlation as C
 from ..operators import reports as R
 from ..operators import reshape as G
 from . import ctes  # noqa: F401  (registers the adapter texts)
-from .base import cte, even, q6, query, r6, sql
+from .base import cte, even, query, sql
 
 KEYS = ["player_id", "season", "week"]
 

@@ -11,9 +11,8 @@ from ..sources import provenance as PV
 from ..sources import scans as S
 from ..sources.registry import DATASETS
 from ..streaming import refresh as ST
-from .base import cte, even, query, r6, sql
+from .base import cte, even, query, sql
 from .projections import letter_key_sql
-from .windows import scored
 
 KEYS = ["player_id", "season", "week"]
 

@@ -8,7 +8,6 @@ from ..operators import career as K
 from ..operators import lineup as L
 from ..operators import ordered as Q
 from ..operators import ranking as R
-from ..operators import reshape as G
 from ..operators import trailing as T
 from . import projections  # noqa: F401  (registers the scored rows)
 from .base import cte, even, q6, query, r6, sql
