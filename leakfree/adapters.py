@@ -13,10 +13,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .session import stored
+from .session import write_stage
 
 # How regions and market segments stand in for positions.
 REGION_POSITION = {"AFRICA": "QB", "AMERICA": "RB", "ASIA": "WR", "EUROPE": "TE", "MIDDLE EAST": "K"}
@@ -25,18 +27,23 @@ SEGMENT_POSITION = {
 }
 
 
-_PUBLISHED: dict[tuple[str, str, str], DataFrame] = {}
+_PUBLISHED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def published(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Build a frame once per application and data folder."""
+    """Build a frame once per application and data folder; build it again if its folder was cleared."""
     @wraps(build)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), build.__name__)
-        if key not in _PUBLISHED:
-            df = build(spark, sf_dir)
-            _PUBLISHED[key] = stored(df, build.__name__, "season").select(*df.columns)
-        return _PUBLISHED[key]
+        if key in _PUBLISHED:
+            path, schema = _PUBLISHED[key]
+            try:
+                return spark.read.schema(schema).parquet(path).select(*schema.names)
+            except AnalysisException:
+                del _PUBLISHED[key]
+        df = build(spark, sf_dir)
+        _PUBLISHED[key] = write_stage(df, build.__name__, "season"), df.schema
+        return read(spark, sf_dir)
     return read
 
 

@@ -47,6 +47,16 @@ def checkpoint_base(spark: SparkSession) -> str:
     return folder
 
 
+def write_stage(df: DataFrame, name: str, partition: str | None = None) -> str:
+    """Write ``df`` as a parquet table in the shared folder; returns its path."""
+    path = scratch_path(df.sparkSession, name)
+    if partition:
+        df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
+    else:
+        df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame, name: str = "stage", partition: str | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -54,12 +64,7 @@ def stored(df: DataFrame, name: str = "stage", partition: str | None = None) ->
     the result is columnar, so later steps read only their columns, and its size is known to the
     planner, which then broadcasts it only if it is small.
     """
-    path = scratch_path(df.sparkSession, name)
-    if partition:
-        df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
-    else:
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, name, partition))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
