@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .pieces import op9_sentencepiece
 from .simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,3 +22,5 @@ def _register(name: str, source: str, fn: Callable[..., DataFrame], oracle: str
 
 
 _register("op8_covering_simhash", "documents", op8_simhash)
+_register("op9_sentencepiece", "documents",
+          lambda docs: op9_sentencepiece(docs, public_tokenizers.path("piece_bpe_32k.model")))
