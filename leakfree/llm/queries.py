@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .pieces import op9_sentencepiece
+from .secret_scan import op7_secrets
 from .simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +25,4 @@ def _register(name: str, source: str, fn: Callable[..., DataFrame], oracle: str
 _register("op8_covering_simhash", "documents", op8_simhash)
 _register("op9_sentencepiece", "documents",
           lambda docs: op9_sentencepiece(docs, public_tokenizers.path("piece_bpe_32k.model")))
+_register("op7_secret_novelty", "documents", op7_secrets)
