@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .language import op2_language
 from .mixing import op10_mixing
 from .pieces import op9_sentencepiece
 from .secret_scan import op7_secrets
@@ -28,3 +29,4 @@ _register("op9_sentencepiece", "documents",
           lambda docs: op9_sentencepiece(docs, public_tokenizers.path("piece_bpe_32k.model")))
 _register("op7_secret_novelty", "documents", op7_secrets)
 _register("op10_entropy_mixing", "documents", op10_mixing)
+_register("op2_language_hierarchy", "documents", op2_language)
