@@ -11,6 +11,8 @@ from .common import table
 from .language import op2_language
 from .mixing import op10_mixing
 from .pieces import op9_sentencepiece
+from .quality import ORACLE as QUALITY_SQL
+from .quality import op4_quality
 from .secret_scan import op7_secrets
 from .simhash import op8_simhash
 
@@ -30,3 +32,4 @@ _register("op9_sentencepiece", "documents",
 _register("op7_secret_novelty", "documents", op7_secrets)
 _register("op10_entropy_mixing", "documents", op10_mixing)
 _register("op2_language_hierarchy", "documents", op2_language)
+_register("op4_quality_divergence", "documents", op4_quality, QUALITY_SQL)
