@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .archives import op1_warc
 from .common import table
 from .language import op2_language
 from .mixing import op10_mixing
@@ -33,3 +34,4 @@ _register("op7_secret_novelty", "documents", op7_secrets)
 _register("op10_entropy_mixing", "documents", op10_mixing)
 _register("op2_language_hierarchy", "documents", op2_language)
 _register("op4_quality_divergence", "documents", op4_quality, QUALITY_SQL)
+_register("op1_arc_to_warc", "pages", op1_warc)
