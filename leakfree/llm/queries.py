@@ -16,6 +16,8 @@ from .quality import ORACLE as QUALITY_SQL
 from .quality import op4_quality
 from .secret_scan import op7_secrets
 from .simhash import op8_simhash
+from .topk import ORACLE as TOPK_SQL
+from .topk import op5_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +37,4 @@ _register("op10_entropy_mixing", "documents", op10_mixing)
 _register("op2_language_hierarchy", "documents", op2_language)
 _register("op4_quality_divergence", "documents", op4_quality, QUALITY_SQL)
 _register("op1_arc_to_warc", "pages", op1_warc)
+_register("op5_segment_topk", "embeddings", op5_topk, TOPK_SQL)
