@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .archives import op1_warc
 from .common import table
 from .language import op2_language
+from .licences import ORACLE as LICENCE_SQL
+from .licences import op3_licences
 from .mixing import op10_mixing
 from .pieces import op9_sentencepiece
 from .quality import ORACLE as QUALITY_SQL
@@ -38,3 +40,4 @@ _register("op2_language_hierarchy", "documents", op2_language)
 _register("op4_quality_divergence", "documents", op4_quality, QUALITY_SQL)
 _register("op1_arc_to_warc", "pages", op1_warc)
 _register("op5_segment_topk", "embeddings", op5_topk, TOPK_SQL)
+_register("op3_licence_digests", "documents", op3_licences, LICENCE_SQL)
