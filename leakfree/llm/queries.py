@@ -13,6 +13,7 @@ from .language import op2_language
 from .licences import ORACLE as LICENCE_SQL
 from .licences import op3_licences
 from .mixing import op10_mixing
+from .passages import op6_passages
 from .pieces import op9_sentencepiece
 from .quality import ORACLE as QUALITY_SQL
 from .quality import op4_quality
@@ -41,3 +42,4 @@ _register("op4_quality_divergence", "documents", op4_quality, QUALITY_SQL)
 _register("op1_arc_to_warc", "pages", op1_warc)
 _register("op5_segment_topk", "embeddings", op5_topk, TOPK_SQL)
 _register("op3_licence_digests", "documents", op3_licences, LICENCE_SQL)
+_register("op6_chained_passages", "documents", op6_passages)
