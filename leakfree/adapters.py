@@ -13,12 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .session import write_stage
+from .session import folder_stamp, write_stage
 
 # How regions and market segments stand in for positions.
 REGION_POSITION = {"AFRICA": "QB", "AMERICA": "RB", "ASIA": "WR", "EUROPE": "TE", "MIDDLE EAST": "K"}
@@ -27,23 +26,28 @@ SEGMENT_POSITION = {
 }
 
 
-_PUBLISHED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+#: By application, folder and frame: where the frame is, its schema, its files, and the stamp of its sources.
+_PUBLISHED: dict[tuple[str, str, str], tuple[str, StructType, tuple, tuple]] = {}
 
 
 def published(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Build a frame once per application and data folder; build it again if its folder was cleared."""
+    """Build a frame once per application and data folder.
+
+    It is built again if any of its files is missing or changed, or if the source folder's files (names, sizes,
+    times) are no longer those it was built from; a partly cleared or a stale frame is never read.
+    """
     @wraps(build)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), build.__name__)
+        sources = folder_stamp(spark, sf_dir)
         if key in _PUBLISHED:
-            path, schema = _PUBLISHED[key]
-            try:
+            path, schema, files, built_from = _PUBLISHED[key]
+            if built_from == sources and files == folder_stamp(spark, path):
                 return spark.read.schema(schema).parquet(path).select(*schema.names)
-            except AnalysisException:
-                del _PUBLISHED[key]
         df = build(spark, sf_dir)
-        _PUBLISHED[key] = write_stage(df, build.__name__, "season"), df.schema
-        return read(spark, sf_dir)
+        path = write_stage(df, build.__name__, "season")
+        _PUBLISHED[key] = path, df.schema, folder_stamp(spark, path), sources
+        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
     return read
 
 

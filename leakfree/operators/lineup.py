@@ -89,10 +89,6 @@ def assign_slots(roster: DataFrame, group: Sequence[str], value: str, ident: str
     return rows.where(F.col(out).isNotNull())
 
 
-def lineup_totals(starters: DataFrame, group: Sequence[str], value: str, out: str = "total") -> DataFrame:
-    return starters.groupBy(*group).agg(F.round(F.sum(value), 2).alias(out), F.count("*").alias("starters"))
-
-
 def score_locked(roster: DataFrame, group: Sequence[str], projection: str, actual: str, ident: str, slots: Slots) -> DataFrame:
     """Points of the lineup locked on projections, and the bench points left over.
 
@@ -110,33 +106,33 @@ def score_locked(roster: DataFrame, group: Sequence[str], projection: str, actua
 
 
 def marginal_gain(roster: DataFrame, free_agents: DataFrame, team: Sequence[str], pool: Sequence[str], value: str,
-                  ident: str, slots: Slots = DEFAULT, top: int = 15, pool_cap: int = 200,
-                  min_gain: float = 1e-6) -> DataFrame:
+                  ident: str, slots: Slots = DEFAULT, top: int = 15, min_gain: float = 1e-6) -> DataFrame:
     """Free agents by how much each would add to a team's best lineup, and whom it would displace.
 
-    ``pool`` names the keys (a league or period) that teams and free agents share. The candidate list
-    is the best ``pool_cap`` of the pool, as in the report it reproduces. With nested slot classes the
-    gain grows with the value inside a position, so the ``top`` best of each position contain the
-    ``top`` best overall and only those are tried; two overlapping classes (WRTE beside RBWR) break
-    that rule, and then the whole list is tried. Each trial adds a candidate to the team's starters
+    ``pool`` names the keys (a league or period) that teams and free agents share. Every free agent of the
+    pool is a candidate. Between two neighbouring values of the team's rows that can reach a slot, the
+    slots a candidate of a position leads to do not depend on its value, so its gain grows with it: the
+    ``top`` best of each position and interval contain the ``top`` best overall, whatever the slot
+    classes. Only those are tried; they are found row by row from a short array of the team's values and
+    cut to ``top`` before the shuffle. Each trial adds a candidate to the team's starters
     and their runners-up, at most a few dozen rows.
     """
-    nested = not (slots.flex.get("WRTE") and slots.flex.get("RBWR"))
-    best_first = [F.col(value).desc(), F.col(ident).asc()]
-    listed = Window.partitionBy(*pool).orderBy(*best_first)
-    each = Window.partitionBy(*pool, "position").orderBy(*best_first)
-    shortlist = (
-        free_agents.withColumn("__rn", F.row_number().over(listed)).where(F.col("__rn") <= pool_cap)
-        .withColumn("__pr", F.row_number().over(each)).where(F.col("__pr") <= (top if nested else pool_cap))
-        .select(*pool, F.col(ident).alias("__cand"), F.col("position").alias("__cpos"), F.col(value).alias("__cval"))
-    )
     keys = [*pool, *team]
     order = [F.coalesce(F.col(value), F.lit(-1.0)).desc(), F.col(ident).asc()]
     core = _prune(roster.select(*keys, ident, "position", value), keys, order, slots, "position")
     base = assign_slots(core, keys, value, ident, slots)
     base_totals = base.groupBy(*keys).agg(
         F.sum(value).alias("__base"), F.collect_set(ident).alias("__started"))
-    tried = roster.select(*keys).distinct().join(shortlist, list(pool))
+    marks = core.groupBy(*keys).agg(F.collect_set(F.coalesce(F.col(value), F.lit(-1.0))).alias("__marks"))
+    teams = roster.select(*keys).distinct().join(marks, keys, "left")
+    offered = free_agents.select(*pool, F.col(ident).alias("__cand"), F.col("position").alias("__cpos"), F.col(value).alias("__cval"))
+    worth = F.coalesce("__cval", F.lit(-1.0))
+    above = F.coalesce(F.size(F.filter("__marks", lambda x: x > worth)), F.lit(0))
+    level = F.coalesce(F.array_contains("__marks", worth), F.lit(False))
+    best_first = Window.partitionBy(*keys, "__cpos", "__above", "__level").orderBy(worth.desc(), F.col("__cand").asc())
+    tried = (
+        teams.join(offered, list(pool)).withColumns({"__above": above, "__level": level}).drop("__marks")
+        .withColumn("__rn", F.row_number().over(best_first)).where(F.col("__rn") <= top))
     added = tried.select(*keys, "__cand", F.col("__cand").alias(ident), F.col("__cpos").alias("position"), F.col("__cval").alias(value))
     kept = tried.select(*keys, "__cand").join(core, keys)
     augmented = kept.select(*added.columns).unionByName(added)

@@ -12,6 +12,8 @@ from ..session import stored
 from .joins import strictly_prior
 from .reshape import opponents, team_rows
 
+SKILL_POSITIONS = ("QB", "RB", "WR", "TE")
+
 DECAY = 0.6
 # Output name and weekly column of each summed stat of the season rollup.
 SEASON_SUMS = (
@@ -89,9 +91,14 @@ def defence_quality(plays: DataFrame) -> DataFrame:
         safe_ratio((F.sum("sack") + F.sum("qb_hit")) * 1.0, F.sum(F.when(F.col("pass") == 1, 1).otherwise(0))).alias("def_pressure"))
 
 
+def regular_skill(weekly: DataFrame) -> DataFrame:
+    """The rows the season operators are about: regular season, skill positions."""
+    return weekly.where((F.col("season_type") == "REG") & F.col("position").isin(*SKILL_POSITIONS))
+
+
 def player_volume(weekly: DataFrame) -> DataFrame:
-    """Opportunity volume per entity-season, counted the way its position earns it."""
-    sums = weekly.groupBy("player_id", "season", "position").agg(
+    """Opportunity volume per entity and regular season, counted the way its (skill) position earns it."""
+    sums = regular_skill(weekly).groupBy("player_id", "season", "position").agg(
         *[F.sum(F.coalesce(c, F.lit(0.0))).alias(f"__{c}") for c in ("carries", "targets", "attempts")])
     vol = (F.when(F.col("position") == "RB", F.col("__carries") + F.col("__targets"))
            .when(F.col("position").isin("WR", "TE"), F.col("__targets")).otherwise(F.col("__attempts")))
@@ -138,9 +145,9 @@ def room_turnover(agg: DataFrame, team: DataFrame, target_season: int) -> DataFr
 
 
 def pass_rate(weekly: DataFrame) -> DataFrame:
-    """Pass share of offensive plays per team and season."""
+    """Pass share of offensive plays per team and regular season."""
     p, r = F.sum(F.coalesce("attempts", F.lit(0.0))), F.sum(F.coalesce("carries", F.lit(0.0)))
-    return weekly.groupBy("season", F.col("recent_team").alias("team")).agg(round_even(safe_ratio(p, p + r), 3).alias("pass_rate"))
+    return weekly.where(F.col("season_type") == "REG").groupBy("season", F.col("recent_team").alias("team")).agg(round_even(safe_ratio(p, p + r), 3).alias("pass_rate"))
 
 
 def schedule_faced(scored: DataFrame) -> DataFrame:

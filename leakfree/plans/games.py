@@ -76,15 +76,17 @@ def forecast_rows(test: DataFrame, totals: DataFrame, margins: DataFrame) -> Dat
         F.when(F.col("__home") >= 0.5, F.col("home_team")).otherwise(F.col("away_team")).alias("ml_lean"))
 
 
-def game_forecasts(games: DataFrame, season: int, week: int, model=None, refit: str = "season") -> DataFrame:
-    """Forecast the games of a period: models on all earlier games, residuals of the last two seasons.
+def game_forecasts(games: DataFrame, season: int, week: int, model=None, refit: str = "period", pool_seasons: int | None = 2) -> DataFrame:
+    """Forecast the games of a period: models on all earlier games, residuals of the last ``pool_seasons`` seasons.
 
-    The residuals come from a walk-forward over those seasons, so they are out of sample.
+    The residuals come from a walk-forward over those seasons (all with None), so they are out of sample;
+    ``refit`` says whether the models are fitted anew before every period or every season.
     """
     table = stored(game_table(games))
     earlier = table.where((order_key() < season * 100 + week) & F.col("total_points").isNotNull())
     test = table.where(order_key() == season * 100 + week)
-    recent = [r["season"] for r in earlier.select("season").distinct().orderBy(F.col("season").desc()).limit(2).collect()]
+    seasons = sorted((r["season"] for r in earlier.select("season").distinct().collect()), reverse=True)
+    recent = seasons[:pool_seasons] if pool_seasons else seasons
     pools, preds = {}, test
     for target, out in (("total_points", "pred_total"), ("home_margin", "pred_margin")):
         make = model or (lambda y: GradientBoosting(FEATURES, y, iterations=10, depth=3))

@@ -11,10 +11,10 @@ from ..functions.names import defence_name
 from ..functions.scoring import PPR, defence_points, kicker_points, with_points
 from ..operators.joins import last_known
 from ..operators.reshape import team_rows
+from ..operators.rollups import SKILL_POSITIONS
 from ..operators.trailing import form_before
 
 FORM_WINDOW = 5
-SKILL_POSITIONS = ("QB", "RB", "WR", "TE")
 
 
 def kicker_rows(weekly: DataFrame, rules: Mapping = PPR) -> DataFrame:

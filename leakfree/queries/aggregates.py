@@ -14,7 +14,7 @@ from ..operators import rollups as U
 from .base import cte, even, q6, query, r6, sql
 from .joins import depth_chart, line_tables, rho_sql, runs
 from .projections import slate
-from .windows import adp, mixed_residuals, residuals, scored, trail  # adp is shared with the board queries
+from .windows import adp, mixed_residuals, residuals, scored, skilled, trail  # adp is shared with the board queries
 
 
 def touches_of(weekly):
@@ -26,22 +26,22 @@ def touches_of(weekly):
 cte("rollup", """
 select player_id, season, min(position) as position, min(player_display_name) as player, count(*) as games, sum(fp) as fp, sum(targets) as targets, sum(carries) as carries,
   sum(receptions) as receptions, sum(receiving_yards) as rec_yds, sum(rushing_yards) as rush_yds, sum(passing_yards) as pass_yds, sum(passing_tds) as pass_tds,
-  sum(rushing_tds) as rush_tds, sum(receiving_tds) as rec_tds, avg(target_share) as tgt_share from scored group by player_id, season""", ("scored",))
+  sum(rushing_tds) as rush_tds, sum(receiving_tds) as rec_tds, avg(target_share) as tgt_share from skill group by player_id, season""", ("skill",))
 
 
 @query("a1_season_rollup", sql(f"select * replace ({q6('fp')} as fp, {q6('tgt_share')} as tgt_share) from rollup", "rollup"))
 def a1(spark, d):
-    return U.season_rollup(scored(spark, d)).withColumns({"fp": r6("fp"), "tgt_share": r6("tgt_share")})
+    return U.season_rollup(skilled(spark, d)).withColumns({"fp": r6("fp"), "tgt_share": r6("tgt_share")})
 
 
-@query("a2_points_allowed", sql(f"select opponent_team, position, season, week, {q6('sum(fp)')} as allowed from scored group by opponent_team, position, season, week", "scored"))
+@query("a2_points_allowed", sql(f"select opponent_team, position, season, week, {q6('sum(fp)')} as allowed from skill group by opponent_team, position, season, week", "skill"))
 def a2(spark, d):
-    return U.points_allowed(scored(spark, d), ("season", "week")).withColumn("allowed", r6("allowed"))
+    return U.points_allowed(skilled(spark, d), ("season", "week")).withColumn("allowed", r6("allowed"))
 
 
 @query("a3_league_ratio", sql(f"select opponent_team, position, season, {q6('allowed / greatest(avg(allowed) over (partition by season, position), 1.0)')} as difficulty from allowed", "allowed"))
 def a3(spark, d):
-    r = U.relative_to_league(U.points_allowed(scored(spark, d)), "allowed", ["season", "position"], "difficulty")
+    r = U.relative_to_league(U.points_allowed(skilled(spark, d)), "allowed", ["season", "position"], "difficulty")
     return r.select("opponent_team", "position", "season", r6("difficulty").alias("difficulty"))
 
 
@@ -90,7 +90,7 @@ def a7(spark, d):
 
 
 cte("volume", """
-select player_id, season, position, case when position = 'RB' then sum(carries) + sum(targets) when position in ('WR', 'TE') then sum(targets) else sum(attempts) end as vol from weekly group by player_id, season, position""", ("weekly",))
+select player_id, season, position, case when position = 'RB' then sum(carries) + sum(targets) when position in ('WR', 'TE') then sum(targets) else sum(attempts) end as vol from weekly where season_type = 'REG' and position in ('QB', 'RB', 'WR', 'TE') group by player_id, season, position""", ("weekly",))
 
 
 @query("a8_player_volume", sql("select * from volume", "volume"))
@@ -132,11 +132,11 @@ left join (select player_id, team from teams where season = 2000) n using (playe
 
 @query("a10_room_turnover", sql(f"select team, position, {q6('vacated_fp')} as vacated_fp, {q6('returning_fp')} as returning_fp, blocked_by, {q6('blocked_by_fp')} as blocked_by_fp from turnover", "turnover"))
 def a10(spark, d):
-    t = U.room_turnover(U.season_rollup(scored(spark, d)), teams(spark, d), 2000)
+    t = U.room_turnover(U.season_rollup(skilled(spark, d)), teams(spark, d), 2000)
     return t.select("team", "position", "blocked_by", *[r6(c).alias(c) for c in ("vacated_fp", "returning_fp", "blocked_by_fp")])
 
 
-cte("pass_rates", f"select season, recent_team as team, {even('sum(attempts) / nullif(sum(attempts) + sum(carries), 0)', 3)} as pass_rate from weekly group by season, recent_team", ("weekly",))
+cte("pass_rates", f"select season, recent_team as team, {even('sum(attempts) / nullif(sum(attempts) + sum(carries), 0)', 3)} as pass_rate from weekly where season_type = 'REG' group by season, recent_team", ("weekly",))
 
 
 @query("a11_pass_rate", sql("select * from pass_rates", "pass_rates"))
@@ -148,22 +148,22 @@ cte("shape", """
 select player_id, season, avg(case when hi <= 3 then fp end) as ceiling, avg(case when lo <= 3 then fp end) as floor,
   case when any_value(m) > 0 then avg(case when fp >= 1.5 * m then 1.0 else 0.0 end) else 0.0 end as boom, stddev_pop(fp) as stdev from (
   select *, row_number() over (partition by player_id, season order by fp desc, week) as hi, row_number() over (partition by player_id, season order by fp, week) as lo,
-    avg(fp) over (partition by player_id, season) as m from scored) group by player_id, season""", ("scored",))
+    avg(fp) over (partition by player_id, season) as m from skill) group by player_id, season""", ("skill",))
 
 
 @query("a12_weekly_shape", sql(f"select player_id, season, {q6('ceiling')} as ceiling, {q6('floor')} as floor, {q6('boom')} as boom, {q6('stdev')} as stdev from shape", "shape"))
 def a12(spark, d):
-    s = K.weekly_shape(scored(spark, d))
+    s = K.weekly_shape(skilled(spark, d))
     return s.select("player_id", "season", *[r6(c).alias(c) for c in ("ceiling", "floor", "boom", "stdev")])
 
 
 cte("faced", """
-select s.player_id, s.season, coalesce(avg(r.diff), 1.0) as sched_faced, sum(s.fp) as p_fp from scored s left join rel r on r.def_team = s.opponent_team and r.position = s.position and r.season = s.season group by all""", ("scored", "rel"))
+select s.player_id, s.season, coalesce(avg(r.diff), 1.0) as sched_faced, sum(s.fp) as p_fp from skill s left join rel r on r.def_team = s.opponent_team and r.position = s.position and r.season = s.season group by all""", ("skill", "rel"))
 
 
 @query("a13_schedule_faced", sql(f"select player_id, season, {q6('sched_faced')} as sched_faced, {even('p_fp / greatest(sched_faced, 0.3)', 1)} as p_fp_adj from faced", "faced"))
 def a13(spark, d):
-    return U.schedule_faced(scored(spark, d)).withColumn("sched_faced", r6("sched_faced"))
+    return U.schedule_faced(skilled(spark, d)).withColumn("sched_faced", r6("sched_faced"))
 
 
 cte("aged", """
@@ -417,7 +417,7 @@ left join coaches c1 on c1.season = 2000 and c1.team = r.team left join coaches
 left join avail a on a.player_id = r.player_id left join line_ctx l on l.team = r.team""",
     "proom", "rollup", "teams", "depth", "pass_rates", "coaches", "avail", "line_ctx").replace(")\n, top", "),\ntop"))
 def a30(spark, d):
-    s, w = scored(spark, d), A.weekly(spark, d)
+    s, w = skilled(spark, d), A.weekly(spark, d)
     agg = U.season_rollup(s).withColumn("player", A.letter_name(F.col("player")))
     k = F.col("s_suppkey")
     market = A.table(spark, d, "supplier").where(k % 3 != 0).select(A.letter_name(F.col("s_name")).alias("player"), (1 + (k * 37) % 90).cast("string").alias("adp"))

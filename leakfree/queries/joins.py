@@ -13,7 +13,7 @@ from ..operators import rollups as U
 from ..operators import trailing as T
 from .base import cte, q6, query, r6, sql
 from .projections import letter_key_sql, word_key_sql
-from .windows import mixed_residuals, residuals, scored
+from .windows import mixed_residuals, residuals, scored, skilled
 
 KEYS = ["player_id", "season", "week"]
 
@@ -84,7 +84,7 @@ def j4(spark, d):
 
 
 cte("opp_rows", "select season, home_team as team, away_team as opp from games where game_type = 'REG' union all select season, away_team, home_team from games where game_type = 'REG'", ("games",))
-cte("allowed", "select opponent_team, position, season, sum(fp) as allowed from scored group by all", ("scored",))
+cte("allowed", "select opponent_team, position, season, sum(fp) as allowed from skill group by all", ("skill",))
 cte("sos", "select team, o.season, position, avg(allowed) as sos from opp_rows o join allowed a on a.season + 1 = o.season and a.opponent_team = o.opp group by all", ("opp_rows", "allowed"))
 
 
@@ -94,7 +94,7 @@ def regular_opponents(spark, d):
 
 @query("j5_prior_year_schedule", sql(f"select team, season, position, {q6('sos')} as sos from sos", "sos"))
 def j5(spark, d):
-    s = J.prior_year_strength(U.points_allowed(scored(spark, d)), regular_opponents(spark, d))
+    s = J.prior_year_strength(U.points_allowed(skilled(spark, d)), regular_opponents(spark, d))
     return s.select("team", "season", "position", r6("sos").alias("sos"))
 
 
@@ -197,7 +197,7 @@ def j11(spark, d):
     return t.select("player_id", "need", r6("p_above").alias("p_above"), r6("p_below").alias("p_below"))
 
 
-cte("targets", "select distinct season from scored union select max(season) + 1 from scored", ("scored",))
+cte("targets", "select distinct season from skill union select max(season) + 1 from skill", ("skill",))
 cte("rel", "select opponent_team as def_team, position, season, allowed / greatest(avg(allowed) over (partition by season, position), 1.0) as diff from allowed", ("allowed",))
 cte("difficulty", """
 select k.def_team, k.position, t.season, coalesce(sum(h.diff * power(0.6, (t.season - h.season)::double)) / sum(power(0.6, (t.season - h.season)::double)), 1.0) as d_diff
@@ -205,7 +205,7 @@ from (select distinct def_team, position from rel) k cross join targets t left j
 
 
 def difficulty(spark, d):
-    s = scored(spark, d)
+    s = skilled(spark, d)
     return U.defence_difficulty(s, J.seasons_with_next(s))
 
 
@@ -295,12 +295,16 @@ def runs(spark, d):
 
 
 @query("j18_strict_pairs", sql("""
-select a.season, a.slot, a.place - b.place as place_delta from runs a join runs b on a.season = b.season and a.slot = b.slot and a.fraction = 0.5 and b.fraction = 0.25""", "runs"))
+select season, slot, coalesce(max(place) filter (fraction = 0.5), 13) - coalesce(max(place) filter (fraction = 0.25), 13) as place_delta from runs group by season, slot""", "runs"))
 def j18(spark, d):
     r, keys = runs(spark, d), ["season", "slot"]
-    ours, base = r.where(F.col("fraction") == 0.5), r.where(F.col("fraction") == 0.25)
-    # sparse data leaves slots that only one variant filled
-    return J.strict_pairs(ours.join(base, keys, "left_semi"), base.join(ours, keys, "left_semi"), keys, ["place"])
+    slots = r.select(*keys).distinct()  # a slot that a variant did not fill comes last, so that both are complete
+
+    def variant(fraction):
+        own = r.where(F.col("fraction") == fraction).select(*keys, "place")
+        return slots.join(own, keys, "left").withColumn("place", F.coalesce("place", F.lit(13)))
+
+    return J.strict_pairs(variant(0.5), variant(0.25), keys, ["place"])
 
 
 cte("line_chart", """

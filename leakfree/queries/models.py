@@ -24,7 +24,7 @@ from .aggregates import adp, avail, plays, teams, touches_of
 from .base import cte, even, q6, query, r6, sql
 from .joins import depth_chart, difficulty
 from .projections import fair_sql, ppr_sql, profit_sql
-from .windows import residuals, scored, trail
+from .windows import residuals, scored, skilled, trail
 
 KEYS = ["player_id", "season", "week"]
 ROLLED = ("fp", "targets", "receptions", "receiving_yards", "target_share", "receiving_epa", "carries", "rushing_yards", "attempts", "passing_yards", "passing_tds")
@@ -35,7 +35,6 @@ def features(spark, d, **options):
     return FT.feature_table(A.weekly(spark, d), A.games(spark, d), A.reports(spark, d), **options)
 
 
-cte("skill", f"select *, {ppr_sql()} as fp from weekly where season_type = 'REG' and position in ('QB', 'RB', 'WR', 'TE')", ("weekly",))
 cte("skill_allowed", """
 select opponent_team, position, season, week, avg(a) over (partition by opponent_team, position order by season, week rows between 3 preceding and 1 preceding) as def_fp_allowed_r3,
   avg(a) over (partition by opponent_team, position order by season, week rows between 5 preceding and 1 preceding) as def_fp_allowed_r5
@@ -320,7 +319,7 @@ def m10b(spark, d):
 
 
 def season_inputs(spark, d):
-    s = scored(spark, d)
+    s = skilled(spark, d)
     agg = U.season_rollup(s)
     births = agg.select("player_id", "season", (1970 + F.col("player_id") % 12).cast("int").alias("birth_year"), (F.col("season") - 1994).alias("years_exp"))
     return s, agg, births
@@ -355,7 +354,7 @@ def m11(spark, d):
 def m12(spark, d):
     f = stored(season_frame(spark, d, career=True, competition=True))
     chart = depth_chart(spark, d)
-    starting = SE.starters(chart, U.season_rollup(scored(spark, d)), None, 2000, True)
+    starting = SE.starters(chart, U.season_rollup(skilled(spark, d)), None, 2000, True)
     model = PR.GradientBoosting([c for c in SE.model_columns(True, False, True) if c in f.columns], "target_fp", iterations=5, depth=3)
     return SE.project_season(f, 2000, starting, model=model)
 
@@ -396,7 +395,7 @@ left join (select cast(team as varchar) as team, pass_rate from pass_rates where
 def a10b(spark, d):
     picks = A.draft_picks(spark, d).where(F.col("season") == 1995).withColumns({"team": (F.col("gsis_id") % 25).cast("string"), "season": F.lit(2000)})
     depth = J.best_match(depth_chart(spark, d).where(F.col("season") == 2000), "player_id", "depth_team").withColumnRenamed("depth_team", "depth_rank")
-    c = RK.rookie_context(picks, U.season_rollup(scored(spark, d)), teams(spark, d), depth, A.weekly(spark, d), 2000)
+    c = RK.rookie_context(picks, U.season_rollup(skilled(spark, d)), teams(spark, d), depth, A.weekly(spark, d), 2000)
     return c.drop("player", "pick")
 
 
@@ -406,7 +405,7 @@ def m14(spark, d):
     named = agg.withColumn("player", A.letter_name(F.col("player")))
     veterans = KD.naive_board(named, 2000)
     late = A.draft_picks(spark, d).where(F.col("season") == 1997).select(
-        (F.col("gsis_id") + 100000).alias("player_id"), A.letter_name(F.col("pfr_player_name")).alias("player"), "position", (300.0 - F.col("pick")).alias("proj"))
+        (-1 - F.col("gsis_id")).alias("player_id"), A.letter_name(F.col("pfr_player_name")).alias("player"), "position", (300.0 - F.col("pick")).alias("proj"))
     team = teams(spark, d).where(F.col("season") == 2000)
     chart = J.best_match(depth_chart(spark, d).where(F.col("season") == 2000), "player_id", "depth_team").withColumnRenamed("depth_team", "depth_rank")
     board = B.draft_board(veterans, late, team=team, chart=chart, adp=adp(spark, d))
@@ -440,7 +439,7 @@ def m16(spark, d):
 
 @query("m16_naive_board", sql(f"select player_id, player, position, {q6('fp')} as proj from rollup where season = 1999", "rollup"))
 def m16b(spark, d):
-    return KD.naive_board(U.season_rollup(scored(spark, d)), 2000).withColumn("proj", r6("proj"))
+    return KD.naive_board(U.season_rollup(skilled(spark, d)), 2000).withColumn("proj", r6("proj"))
 
 
 @query("m17_actual_outcomes", sql("""

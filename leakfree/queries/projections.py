@@ -38,6 +38,7 @@ def ppr_sql(reception: str = "1.0", te: str | None = None, bonuses: bool = False
 
 
 cte("scored", f"select *, {ppr_sql()} as fp from weekly", ("weekly",))
+cte("skill", "select * from scored where season_type = 'REG' and position in ('QB', 'RB', 'WR', 'TE')", ("scored",))
 
 CUSTOM = S.resolve_rules(custom={
     "te_reception_bonus": 0.5, "bonus_rush_100": 3, "bonus_rec_100": 2, "bonus_pass_300": 1, "not_a_rule": 9,

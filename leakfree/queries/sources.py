@@ -301,14 +301,17 @@ def s19(spark, d):
 
 @query("st1_refresh_lake", "select user_id as player_id, cast(dayofmonth(ts) as int) as season, value from events")
 def st1(spark, d):
-    schema = A.table(spark, d, "events").schema
-    target = scratch_path(spark, "streamed")
-    stream = ST.file_stream(spark, d, schema, "events.parquet")
+    events = A.table(spark, d, "events")
+    landing, target, checkpoint = (scratch_path(spark, n) for n in ("landing", "streamed", "checkpoint"))
     from ..sources.registry import Dataset
 
     dataset = Dataset("events", True, frozenset({"season", "player_id"}))
-    ST.refresh_lake(stream, target, dataset, normalise=lambda b: b.select(
-        F.col("user_id").alias("player_id"), F.dayofmonth("ts").alias("season"), "value"))
+    # every season is spread over several files, which arrive in batches of their own and in two runs
+    for run in range(2):
+        events.where(F.pmod("event_id", F.lit(2)) == run).repartition(3, "event_id").write.mode("append").parquet(landing)
+        stream = ST.file_stream(spark, landing, events.schema, files_per_batch=1)
+        ST.refresh_lake(stream, target, dataset, checkpoint, normalise=lambda b: b.select(
+            F.col("user_id").alias("player_id"), F.dayofmonth("ts").alias("season"), "value", ST.FILE))
     return spark.read.parquet(target).select("player_id", "season", "value")
 
 
@@ -317,4 +320,4 @@ select user_id, event_type, ts, value from (select *, row_number() over (partiti
 def st2(spark, d):
     schema = A.table(spark, d, "events").schema
     stream = ST.file_stream(spark, d, schema, "events.parquet").select("user_id", "ts", "event_type", "value")
-    return ST.upsert_latest(stream, scratch_path(spark, "latest"), ["user_id"], ["ts"]).current().select("user_id", "event_type", "ts", "value")
+    return ST.upsert_latest(stream, scratch_path(spark, "latest"), ["user_id"], ["ts"], scratch_path(spark, "checkpoint")).current().select("user_id", "event_type", "ts", "value")

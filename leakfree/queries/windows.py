@@ -8,6 +8,7 @@ from ..operators import career as K
 from ..operators import lineup as L
 from ..operators import ordered as Q
 from ..operators import ranking as R
+from ..operators import rollups as U
 from ..operators import trailing as T
 from . import projections  # noqa: F401  (registers the scored rows)
 from .base import cte, even, q6, query, r6, sql
@@ -19,6 +20,11 @@ def scored(spark, d):
     return S.with_points(A.weekly(spark, d))
 
 
+def skilled(spark, d):
+    """The scored rows of regular seasons and skill positions, which the season operators are about."""
+    return U.regular_skill(scored(spark, d))
+
+
 def trail(spark, d):
     """Scored rows with trailing means over 3 and 5 rows."""
     return T.trailing_mean(scored(spark, d), ["fp"], (3, 5))

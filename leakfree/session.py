@@ -47,6 +47,26 @@ def checkpoint_base(spark: SparkSession) -> str:
     return folder
 
 
+def folder_stamp(spark: SparkSession, path: str, depth: int = 1) -> tuple[tuple[str, int, int], ...]:
+    """(name, bytes, time) of the data files in a folder and ``depth`` levels below; empty if there is no folder.
+
+    Only the file system's listing is read, so the stamp is cheap and works in any store.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return ()
+    out: list[tuple[str, int, int]] = []
+    for status in fs.listStatus(where):
+        name = status.getPath().getName()
+        if status.isDirectory():
+            if depth:
+                out += [(f"{name}/{n}", b, t) for n, b, t in folder_stamp(spark, status.getPath().toString(), depth - 1)]
+        elif not name.startswith((".", "_temporary")):
+            out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def write_stage(df: DataFrame, name: str, partition: str | None = None) -> str:
     """Write ``df`` as a parquet table in the shared folder; returns its path."""
     path = scratch_path(df.sparkSession, name)

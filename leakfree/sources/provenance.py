@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import null_safe_join
 from ..session import scratch_path
 from .contracts import NORMALIZERS, ContractError, validate
 from .registry import CONTRACT_VERSION, Dataset
@@ -18,13 +19,15 @@ class PublishError(RuntimeError):
     """The rows read back differ from the rows written."""
 
 
-def publish(df: DataFrame, path: str, partition: str | None = "season") -> int:
-    """Write to a staging table, count it, and only then replace the affected partitions.
+def publish(df: DataFrame, path: str, partition: str | Sequence[str] | None = "season") -> int:
+    """Write to a staging table, count it, replace the affected partitions, and count those again.
 
     The rows written are observed while writing, so the source is read once. The replacement is a
-    dynamic partition overwrite: seasons that are not in the frame stay as they are.
+    dynamic partition overwrite: seasons that are not in the frame stay as they are. It is not one
+    transaction: after a :class:`PublishError`, or a crash in between, publish again.
     """
     spark = df.sparkSession
+    parts = [partition] if isinstance(partition, str) else list(partition or [])
     staging = scratch_path(spark, "publish")
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(staging)
@@ -33,9 +36,14 @@ def publish(df: DataFrame, path: str, partition: str | None = "season") -> int:
     if written != seen.get["rows"]:
         raise PublishError(f"wrote {seen.get['rows']} rows but read {written} back")
     writer = staged.write.mode("overwrite")
-    if partition:
-        writer = staged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition)
+    if parts:
+        writer = staged.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
     writer.parquet(path)
+    live = spark.read.schema(df.schema).parquet(path)
+    if parts:
+        live = null_safe_join(live.select(*parts), staged.select(*parts).distinct(), parts, "left_semi")
+    if (found := live.count()) != written:
+        raise PublishError(f"published {written} rows but found {found} in {path}")
     return written
 
 

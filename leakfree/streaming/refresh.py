@@ -8,27 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import scratch_path
+from ..session import folder_stamp
 from ..sources.contracts import validate
 from ..sources.provenance import publish
 from ..sources.registry import Dataset
 
 BATCH = "batch"
+FILE = "source_file"
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """A stream over the parquet files of a folder."""
+    """A stream over the parquet files of a folder; the column ``source_file`` names the file of each row."""
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(path).withColumn(FILE, F.col("_metadata.file_name"))
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -37,21 +37,28 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
     query.awaitTermination()
 
 
-def refresh_lake(landing: DataFrame, target: str, dataset: Dataset, checkpoint: str | None = None,
+def refresh_lake(landing: DataFrame, target: str, dataset: Dataset, checkpoint: str,
                  normalise: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    """Publish arriving files of a seasonal dataset; each season they carry is replaced, others stay.
+    """Publish arriving files of a seasonal dataset.
 
-    A batch that breaks the contract fails the stream before anything is replaced, and is read again
-    on the next run.
+    The lake is parted by season and source file: files of a season add up, in whatever batches and runs
+    they arrive, and only a file of the same name replaces an earlier one. A batch that is repeated
+    after a failure writes the same partitions again. ``normalise`` must keep the column ``source_file``. A
+    batch that breaks the contract fails the stream before anything is replaced, and is read again
+    on the next run. ``checkpoint`` must be the same folder in every run.
     """
+    parts = [*([dataset.partition] if dataset.partition else []), FILE]
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         df = normalise(batch)
+        if FILE not in df.columns:
+            raise ValueError(f"normalise dropped {FILE}")
         validate(df, dataset)
-        publish(df, target, dataset.partition)
+        publish(df, target, parts)
 
-    run_available(landing, handle, checkpoint or scratch_path(landing.sparkSession, "refresh"))
+    run_available(landing, handle, checkpoint)
 
 
 def latest_by_key(stream: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -72,12 +79,13 @@ class SnapshotTable:
         self.spark, self.path, self.key, self.order = spark, path, list(key), list(order)
 
     def versions(self) -> list[int]:
-        """Versions in storage (directory names only, no data is read)."""
-        try:
-            found = self.spark.read.parquet(self.path).select(BATCH).distinct().collect()
-        except AnalysisException:
-            return []
-        return sorted(r[BATCH] for r in found)
+        """Complete versions in storage, by the markers of finished writes; no data is read.
+
+        A version without its marker is a write that broke off: its batch is repeated. A version that is
+        marked but cannot be read fails the merge, it is never taken for an empty state.
+        """
+        names = [n.partition("/") for n, _, _ in folder_stamp(self.spark, self.path)]
+        return sorted(int(d.removeprefix(f"{BATCH}=")) for d, _, f in names if f == "_SUCCESS" and d.startswith(f"{BATCH}="))
 
     def _version(self, n: int) -> str:
         return f"{self.path.rstrip('/')}/{BATCH}={n}"
@@ -88,12 +96,13 @@ class SnapshotTable:
         if earlier:
             rows = self.spark.read.parquet(self._version(max(earlier))).unionByName(batch)
         latest_by_key(rows, self.key, self.order).write.mode("overwrite").parquet(self._version(batch_id))
+
     def current(self) -> DataFrame:
         return self.spark.read.parquet(self._version(max(self.versions())))
 
 
-def upsert_latest(stream: DataFrame, path: str, key: Sequence[str], order: Sequence[str], checkpoint: str | None = None) -> SnapshotTable:
-    """Run the stream into a :class:`SnapshotTable`."""
+def upsert_latest(stream: DataFrame, path: str, key: Sequence[str], order: Sequence[str], checkpoint: str) -> SnapshotTable:
+    """Run the stream into a :class:`SnapshotTable`; ``checkpoint`` must be the same folder in every run."""
     table = SnapshotTable(stream.sparkSession, path, key, order)
-    run_available(stream, table.merge, checkpoint or scratch_path(stream.sparkSession, "upsert"))
+    run_available(stream, table.merge, checkpoint)
     return table

@@ -1,16 +1,23 @@
+import shutil
+from pathlib import Path
+
 from leakfree import adapters as A
-from leakfree.session import scratch_path, stored
+from leakfree.session import stored
 
 from conftest import rows
 
 
-def test_published_frames_are_built_once_and_again_if_cleared(spark, sf):
-    first = rows(A.seasons(spark, sf))
-    key = next(k for k in A._PUBLISHED if k[1:] == (sf, "seasons"))
-    path, schema = A._PUBLISHED[key]
-    assert rows(A.seasons(spark, sf)) == first and A._PUBLISHED[key][0] == path
-    A._PUBLISHED[key] = scratch_path(spark, "cleared"), schema
-    assert rows(A.seasons(spark, sf)) == first and A._PUBLISHED[key][0] != path
+def test_published_frames_are_built_once_and_again_if_cleared_or_stale(spark, sf, tmp_path):
+    source = str(shutil.copytree(sf, tmp_path / "data"))
+    first = rows(A.seasons(spark, source))
+    key = next(k for k in A._PUBLISHED if k[1:] == (source, "seasons"))
+    path = A._PUBLISHED[key][0]
+    assert rows(A.seasons(spark, source)) == first and A._PUBLISHED[key][0] == path
+    shutil.rmtree(next(Path(path.removeprefix("file:")).glob("season=*")))
+    assert rows(A.seasons(spark, source)) == first and A._PUBLISHED[key][0] != path
+    Path(f"{source}/orders.parquet").unlink()
+    spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 2 = 0").write.parquet(f"{source}/orders.parquet")
+    assert 0 < len(rows(A.seasons(spark, source))) < len(first)
 
 
 def test_stored_tables_keep_rows_and_prune_columns(spark):

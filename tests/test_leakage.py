@@ -166,3 +166,20 @@ def test_anchor_regresses_starters(spark):
     starting = spark.createDataFrame([(1, 2023)], "player_id int, season int")
     got = {r["player_id"]: r["anchor"] for r in SE.prior_anchor(f, starting).collect()}
     assert got[2] == pytest.approx(9.0 * 10.0) and got[1] == pytest.approx(9.0 * (10 * 2 + 15.5 * 8) / 10)
+
+
+def test_season_operators_ignore_other_season_types_and_positions(spark, sf):
+    from leakfree import adapters
+    from leakfree.operators import rollups
+    from leakfree.queries import windows
+
+    weekly = adapters.weekly(spark, sf)
+    regular = weekly.where("season_type = 'REG'")
+    skill = regular.where("position in ('QB', 'RB', 'WR', 'TE')")
+    assert skill.count() < regular.count() < weekly.count()
+    for f, few in ((rollups.player_volume, skill), (rollups.pass_rate, regular)):
+        a, b = (sorted(map(str, f(x).collect())) for x in (few, weekly))
+        assert a == b
+    keys = ["player_id", "season", "week"]
+    assert windows.skilled(spark, sf).select(*keys).exceptAll(skill.select(*keys)).isEmpty()
+    assert skill.select(*keys).exceptAll(windows.skilled(spark, sf).select(*keys)).isEmpty()

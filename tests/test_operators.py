@@ -242,10 +242,10 @@ def test_marginal_gain_equals_refilling(spark, slots):
     out = L.marginal_gain(
         spark.createDataFrame(roster, "lg int, team int, player string, position string, pred double"),
         spark.createDataFrame(free, "lg int, player string, position string, pred double"),
-        ["team"], ["lg"], "pred", "player", slots, top=4, pool_cap=50)
+        ["team"], ["lg"], "pred", "player", slots, top=4)
     for r in out.collect():
         got.setdefault(r["team"], []).append((r["place"], r["player"], round(r["gain"], 6), r["replaces"]))
-    pool = sorted(free, key=lambda f: (-f[3], f[1]))[:50]
+    pool = sorted(free, key=lambda f: (-f[3], f[1]))
     for t in range(3):
         mine = [r[2:] for r in roster if r[1] == t]
         value = {p[0]: p[2] for p in mine} | {f[1]: f[3] for f in pool}

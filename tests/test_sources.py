@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ def test_streams_resume_and_merge(spark):
     ST.refresh_lake(ST.file_stream(spark, landing, schema), target, SEASONAL, ckpt)
     arrive([(1, 2, 2023, 7, 0)])
     ST.refresh_lake(ST.file_stream(spark, landing, schema), target, SEASONAL, ckpt)
-    assert rows(spark.read.parquet(target), "k", "season", "v") == [(1, 2022, 5), (1, 2023, 7)]
+    assert rows(spark.read.parquet(target), "k", "season", "v") == [(1, 2022, 5), (1, 2023, 7), (2, 2023, 6)]
 
     latest, ckpt2 = scratch_path(spark, "latest"), scratch_path(spark, "ckpt2")
     ST.upsert_latest(ST.file_stream(spark, landing, schema), latest, ["k"], ["ts"], ckpt2)
@@ -138,11 +139,40 @@ def test_streams_resume_and_merge(spark):
     assert rows(table.current(), "k", "ts", "v") == [(1, 2, 7), (2, 9, 1), (3, 1, 2)]
 
 
+@pytest.mark.parametrize("runs", [1, 2])
+def test_a_season_in_several_batches_and_runs_keeps_all_rows(spark, runs):
+    landing, target, ckpt = (scratch_path(spark, n) for n in ("landing", "target", "ckpt"))
+    schema = "k int, ts int, season int, v int, a int"
+    for run in range(runs):
+        part = [(i, 1, 2022, i, 0) for i in range(20) if i % runs == run]
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(landing)
+        ST.refresh_lake(ST.file_stream(spark, landing, schema, files_per_batch=1), target, SEASONAL, ckpt)
+    assert rows(spark.read.parquet(target), "k") == [(i,) for i in range(20)]
+    with pytest.raises(Exception, match="source_file"):
+        ST.refresh_lake(ST.file_stream(spark, landing, schema), target, SEASONAL, scratch_path(spark, "ckpt"), lambda b: b.drop("source_file"))
+
+
+def test_a_broken_version_is_an_error_and_an_unfinished_one_is_repeated(spark):
+    path = scratch_path(spark, "snapshot")
+    table = ST.SnapshotTable(spark, path, ["k"], ["ts"])
+    batch = spark.createDataFrame([(1, 1)], "k int, ts int")
+    assert table.versions() == []
+    table.merge(batch, 0)
+    spark.createDataFrame([("x",)], "other string").write.text(f"{path}/batch=1")
+    assert table.versions() == [0, 1]
+    with pytest.raises(Exception):
+        table.merge(batch, 2)
+    os.remove(f"{path.removeprefix('file:')}/batch=1/_SUCCESS")
+    assert table.versions() == [0]
+    table.merge(spark.createDataFrame([(2, 5)], "k int, ts int"), 2)
+    assert rows(table.current()) == [(1, 1), (2, 5)]
+
+
 def test_a_bad_batch_changes_nothing(spark):
     landing, target = scratch_path(spark, "landing"), scratch_path(spark, "target")
     spark.createDataFrame([(1, 2022)], "v int, season int").write.parquet(landing)
     with pytest.raises(Exception, match="expected one of"):
-        ST.refresh_lake(ST.file_stream(spark, landing, "v int, season int"), target, SEASONAL)
+        ST.refresh_lake(ST.file_stream(spark, landing, "v int, season int"), target, SEASONAL, scratch_path(spark, "ckpt"))
     from leakfree.streaming.refresh import SnapshotTable
 
     assert SnapshotTable(spark, target, ["v"], ["v"]).versions() == []
