@@ -140,7 +140,8 @@ def marginal_gain(roster: DataFrame, free_agents: DataFrame, team: Sequence[str]
     new_totals = new.groupBy(*keys, "__cand").agg(F.sum(value).alias("__new"), F.collect_set(ident).alias("__now"))
     gains = (
         new_totals.join(base_totals, keys, "left")
-        .withColumn("gain", F.col("__new") - F.coalesce("__base", F.lit(0.0))).where(F.col("gain") > min_gain)
+        # sums in another order differ in the last bits; equal gains must stay equal
+        .withColumn("gain", F.round(F.col("__new") - F.coalesce("__base", F.lit(0.0)), 9)).where(F.col("gain") > min_gain)
         .withColumn("replaces", F.array_min(F.array_except(F.coalesce("__started", F.array().cast("array<string>")), F.col("__now"))))
     )
     w = Window.partitionBy(*keys).orderBy(F.col("gain").desc(), F.col("__cand").asc())

@@ -89,7 +89,7 @@ def game_forecasts(games: DataFrame, season: int, week: int, model=None, refit:
     recent = seasons[:pool_seasons] if pool_seasons else seasons
     pools, preds = {}, test
     for target, out in (("total_points", "pred_total"), ("home_margin", "pred_margin")):
-        make = model or (lambda y: GradientBoosting(FEATURES, y, iterations=10, depth=3))
+        make = model or (lambda y: GradientBoosting(FEATURES, y, iterations=300, depth=3))
         walked = walk_forward(earlier, make(target), recent, eval_col=target, min_train_rows=200, keep=("game_id", target), refit=refit)
         pools[out] = walked.select("game_id", (F.col(target) - F.col("pred")).alias("residual"))
         preds = make(target).fit(earlier).predict(preds).withColumnRenamed("pred", out)

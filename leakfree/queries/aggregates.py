@@ -224,6 +224,11 @@ def a17(spark, d):
     return M.group_spearman(residuals(spark, d), ["season", "week"], "pred", "fp").withColumn("spearman", r6("spearman"))
 
 
+@query("a17_mean_spearman", sql(f"select {q6('avg(spearman)')} as weekly_spearman from spear", "spear"))
+def a17b(spark, d):
+    return M.mean_spearman(residuals(spark, d), ["season", "week"], "pred", "fp").withColumn("weekly_spearman", r6("weekly_spearman"))
+
+
 @query("a18_interval_coverage", sql(f"""
 , pool as (select position, residual from resid where season = 1998),
 b as (select position, quantile_cont(residual, 0.10) as a10, quantile_cont(residual, 0.25) as a25, quantile_cont(residual, 0.75) as a75, quantile_cont(residual, 0.90) as a90 from pool group by 1),
@@ -246,7 +251,7 @@ def a19(spark, d):
 
 BOOT = """
 , v as (select *, row_number() over (partition by fraction order by {order}) - 1 as i, count(*) over (partition by fraction) as n from {src}),
-picks_b as (select v.fraction, b, (b * 7919 + v.i * 104729 + b * v.i * 31 + 11) % v.n as i from v, range(200) as r(b)),
+picks_b as (select v.fraction, b, (b * 7919 + v.i * 104729 + b * v.i * 31 + 11) % v.n as i from v, range(2000) as r(b)),
 means as (select p.fraction, p.b, avg(v.x) as m from picks_b p join v on v.fraction = p.fraction and v.i = p.i group by all)
 """
 
@@ -255,7 +260,7 @@ means as (select p.fraction, p.b, avg(v.x) as m from picks_b p join v on v.fract
 select fraction, (select count(*) from runs r where r.fraction = means.fraction) as n, {q6('(select avg(place) from runs r where r.fraction = means.fraction)')} as estimate,
   {q6('quantile_cont(m, 0.025)')} as low, {q6('quantile_cont(m, 0.975)')} as high from means group by fraction"""), "runs").replace(")\n, v as", "),\nv as"))
 def a20(spark, d):
-    b = M.bootstrap_mean(runs(spark, d), "place", ["season", "slot"], ["fraction"], 200, draw=M.arithmetic_draw(11))
+    b = M.bootstrap_mean(runs(spark, d), "place", ["season", "slot"], ["fraction"], 2000, draw=M.arithmetic_draw(11))
     return b.select("fraction", "n", *[r6(c).alias(c) for c in ("estimate", "low", "high")])
 
 
@@ -263,7 +268,7 @@ def a20(spark, d):
 select fraction, (select count(*) from runs r where r.fraction = means.fraction) as n, (select count(distinct season) from runs r where r.fraction = means.fraction) as n_clusters,
   {q6('(select avg(x) from v where v.fraction = means.fraction)')} as estimate, {q6('quantile_cont(m, 0.025)')} as low, {q6('quantile_cont(m, 0.975)')} as high from means group by fraction"""), "runs").replace(")\n, v as", "),\nv as"))
 def a21(spark, d):
-    b = M.cluster_bootstrap_mean(runs(spark, d), "place", ["season"], ["fraction"], resamples=200, draw=M.arithmetic_draw(11))
+    b = M.cluster_bootstrap_mean(runs(spark, d), "place", ["season"], ["fraction"], resamples=2000, draw=M.arithmetic_draw(11))
     return b.select("fraction", "n", "n_clusters", *[r6(c).alias(c) for c in ("estimate", "low", "high")])
 
 

@@ -1,5 +1,6 @@
 """Joins (J1-J19)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -308,7 +309,8 @@ def j18(spark, d):
 
 
 cte("line_chart", """
-select cast(s_nationkey as int) as team, s_suppkey as player_id, '1' as depth_team, case s_suppkey % 5 when 0 then 'LT' when 1 then 'LG' when 2 then 'C' when 3 then 'RG' else 'QB' end as depth_position from supplier""")
+select cast(s_nationkey as int) as team, s_suppkey as player_id, '1' as depth_team, case s_suppkey % 5 when 0 then 'LT' when 1 then 'LG' when 2 then 'C' when 3 then 'RG' else 'QB' end as depth_position
+from supplier qualify row_number() over (partition by s_nationkey order by s_suppkey) <= 10""")
 cte("line_avail", """
 select s_suppkey as player_id, s_suppkey % 3 = 0 as ended_hurt, case when s_suppkey % 4 = 0 then 'on PUP' end as status, case s_suppkey % 7 when 0 then 'IR' when 1 then 'Questionable' end as live_code from supplier""")
 cte("line_ctx", """
@@ -318,7 +320,9 @@ where depth_position in ('LT', 'LG', 'C', 'RG', 'RT') and (ended_hurt or status
 
 def line_tables(spark, d):
     s, k = A.table(spark, d, "supplier"), F.col("s_suppkey")
-    chart = s.select(F.col("s_nationkey").cast("int").alias("team"), k.alias("player_id"), F.lit("1").alias("depth_team"),
+    # a chart has a few men a team, however many entities there are
+    first = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    chart = s.withColumn("__n", first).where(F.col("__n") <= 10).select(F.col("s_nationkey").cast("int").alias("team"), k.alias("player_id"), F.lit("1").alias("depth_team"),
                      F.when(k % 5 == 0, "LT").when(k % 5 == 1, "LG").when(k % 5 == 2, "C").when(k % 5 == 3, "RG").otherwise("QB").alias("depth_position"))
     avail = s.select(k.alias("player_id"), (k % 3 == 0).alias("ended_hurt"), F.when(k % 4 == 0, "on PUP").alias("status"),
                      F.when(k % 7 == 0, "IR").when(k % 7 == 1, "Questionable").alias("live_code"))

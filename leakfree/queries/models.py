@@ -350,6 +350,18 @@ def m11(spark, d):
                     "team_changed", "coach_changed", r6("sos").alias("sos"), r6("sos_q").alias("sos_q"), "is_QB")
 
 
+@query("w12_schedule_rank", sql("""
+select player_id, position, sched_ahead, case when sched_ahead is not null then cast(rank() over (partition by position, sched_ahead is null order by sched_ahead desc) as int) end as sched_rank from (
+  select r.player_id, r.position, """ + even("a.ahead", 3) + """ as sched_ahead from (select * from rollup where season = 1999) r left join (select player_id, team from teams where season = 2000) t using (player_id)
+  left join (select o.team, f.position, avg(d_diff) as ahead from opp_rows o join difficulty f on f.def_team = o.opp and f.season = o.season where o.season = 2000 group by all) a on a.team = t.team and a.position = r.position)""",
+    "rollup", "teams", "opp_rows", "difficulty"))
+def w12b(spark, d):
+    board = season_inputs(spark, d)[1].where(F.col("season") == 1999).select("player_id", "position", F.lit(None).alias("team"))
+    team = teams(spark, d).where(F.col("season") == 2000).select("player_id", "team")
+    ahead = U.forward_schedule(A.games(spark, d), difficulty(spark, d)).where(F.col("season") == 2000).drop("season")
+    return R.schedule_rank(board, team, ahead).select("player_id", "position", "sched_ahead", "sched_rank")
+
+
 @query("m12_project_season")
 def m12(spark, d):
     f = stored(season_frame(spark, d, career=True, competition=True))

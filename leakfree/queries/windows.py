@@ -337,7 +337,25 @@ def w21(spark, d):
 GAIN_SLOTS = L.Slots({"QB": 1, "RB": 1, "WR": 1, "TE": 1}, {"FLEX": 1})
 
 
-@query("w20_marginal_gain")
+def _filled(source, keys):
+    """SQL of the lineup of one slot per position and a flex, from a table of rows."""
+    inner = f"select *, row_number() over (partition by {keys}, position order by coalesce(pred, -1) desc, player) as prn from {source}"
+    free = f"select *, not (prn <= 1 and position in ('QB', 'RB', 'WR', 'TE')) and position in ('RB', 'WR', 'TE') as free, prn <= 1 and position in ('QB', 'RB', 'WR', 'TE') as pure from ({inner})"
+    return f"select * from (select *, row_number() over (partition by {keys}, free order by coalesce(pred, -1) desc, player) as frn from ({free})) where pure or (free and frn <= 1)"
+
+
+@query("w20_marginal_gain", sql(f"""
+with known as (select * from lineup_rows where pred is not null), own as (select * from known where (player_id + week) % 3 <> 0),
+agents as (select season, week, player, position, pred from known where (player_id + week) % 3 = 0),
+tried as (select t.season, t.week, t.team, f.player as cand, f.player, f.position, f.pred from (select distinct season, week, team from own) t join agents f using (season, week)
+  union all select o.season, o.week, o.team, f.player, o.player, o.position, o.pred from own o join agents f using (season, week)),
+base as ({_filled('own', 'season, week, team')}), new as ({_filled('tried', 'season, week, team, cand')}),
+sums as (select n.season, n.week, n.team, n.cand, sum(n.pred) as total, list(n.player) as now from new n group by all),
+bases as (select season, week, team, sum(pred) as total, list(player) as started from base group by all),
+gains as (select s.season, s.week, s.team, s.cand, round(s.total - coalesce(b.total, 0), 9) as g, list_min(list_filter(b.started, lambda x: not list_contains(s.now, x))) as replaces
+  from sums s left join bases b using (season, week, team))
+select season, week, team, cand as player, {q6('g')} as gain, replaces, place from (
+  select *, cast(row_number() over (partition by season, week, team order by g desc, cand) as int) as place from gains where g > 1e-6) where place <= 5""", "lineup_rows"))
 def w20(spark, d):
     rows = lineup_rows(spark, d).where(F.col("pred").isNotNull())
     owned = (F.col("player_id") + F.col("week")) % 3 != 0

@@ -117,7 +117,8 @@ def ingest(jobs: Iterable[tuple[Dataset, int | None, Callable[[], DataFrame]]],
 def fingerprint(manifest: DataFrame, name: str = "path", digest: str = "sha256") -> DataFrame:
     """One digest over the sorted (file, digest) pairs of a manifest, as of its JSON object.
 
-    The collected text has one short entry per file, not per row.
+    ``manifest`` has one row per file of a dataset, as :func:`provenance` makes it; the text that is
+    digested has one short entry per file. It is not meant for tables of data rows.
     """
     quoted = F.concat(F.lit('"'), F.col(name), F.lit('":"'), F.col(digest), F.lit('"'))
     entries = F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), quoted.alias("e")))), lambda x: x["e"])
