@@ -5,7 +5,8 @@ relative entropy that meet the target, with no rate above ``CAP``: min(CAP, exp(
 where lambda solves the source's convex dual. All sources are solved at once by Newton steps, each one
 aggregation over the (source, size) counts. Rates are then rounded into copies: every document
 gets its rate's whole part, and one more copy in the order of (hash - fraction) as long as its words fit
-into what the source's target leaves; a few passes let smaller documents fill what a large one left.
+into what the source's target leaves; a few passes let smaller documents fill what a large one left, and at
+last the document that brings the words nearest to the target may go beyond it.
 """
 
 from __future__ import annotations
@@ -127,7 +128,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
             "key", "source", "size", "n", "source_size", "target", "rate",
             (F.col("copies") + F.col("more").cast("int")).alias("copies"),
             F.when(~F.col("more"), F.col("turn")).alias("turn")), "units")
-    return rows, current.select("key", "source", "size", "source_size", "target", "rate", "copies")
+    left = F.col("target") - F.sum(words * F.col("copies"))
+    short = stored(current.groupBy("source", "target").agg(left.alias("left")).drop("target"), "left")
+    gap = F.abs(F.col("left") - words)
+    closer = null_safe_join(current, short, ["source"]).where(F.col("turn").isNotNull() & (F.col("size") > 0) & (gap < F.col("left")))
+    last = stored(closer.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "turn", "key", "size")).alias("x")).select(
+        "source", "x.key", "x.size", F.lit(1).alias("last")), "last")
+    done = null_safe_join(current, last, ["key", "source", "size"], "left").withColumn(
+        "copies", F.col("copies") + F.coalesce("last", F.lit(0)))
+    return rows, done.select("key", "source", "size", "source_size", "target", "rate", "copies")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
