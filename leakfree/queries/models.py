@@ -111,7 +111,7 @@ def model_features(spark, d):
 @query("m3_gradient_boosting")
 def m3(spark, d):
     f, cols = model_features(spark, d)
-    model = PR.GradientBoosting(cols, iterations=5, depth=4)
+    model = PR.GradientBoosting(cols)
     model.fit(f.where(order_key() < 200001))
     return model.predict(f.where((order_key() >= 200001) & F.col("fp_r3").isNotNull())).select(*KEYS, "fp", "pred")
 
@@ -133,7 +133,7 @@ def m4b(spark, d):
 @query("m5_holdout_residuals")
 def m5(spark, d):
     f, cols = model_features(spark, d)
-    return PR.holdout_residuals(f, PR.GradientBoosting(cols, "receiving_yards", iterations=5, depth=4), 2000, "receiving_yards").select(
+    return PR.holdout_residuals(f, PR.GradientBoosting(cols, "receiving_yards"), 2000, "receiving_yards").select(
         *KEYS, "position", "pred", "residual")
 
 
@@ -367,7 +367,7 @@ def m12(spark, d):
     f = stored(season_frame(spark, d, career=True, competition=True))
     chart = depth_chart(spark, d)
     starting = SE.starters(chart, U.season_rollup(skilled(spark, d)), None, 2000, True)
-    model = PR.GradientBoosting([c for c in SE.model_columns(True, False, True) if c in f.columns], "target_fp", iterations=5, depth=3)
+    model = PR.GradientBoosting([c for c in SE.model_columns(True, False, True) if c in f.columns], "target_fp")
     return SE.project_season(f, 2000, starting, model=model)
 
 
