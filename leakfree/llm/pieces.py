@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _BLOCK = 1 << 10
 _NEVER = float("-inf")
-_CACHE, _CACHE_CHARS, _PAIRS = 1 << 18, 48, 1 << 20
+_CACHE, _CACHE_CHARS, _PAIRS = 1 << 17, 48, 1 << 18
 
 
 #: A match: the piece's length, its id, and the match of the longest shorter piece that it starts with.
@@ -202,18 +202,6 @@ class MergeEncoder:
             return self.library.decode(ids)
 
 
-_ENCODERS: dict[int, MergeEncoder] = {}
-
-
-def encoder(model: bytes) -> MergeEncoder:
-    """One encoder per worker process."""
-    key = hash(model)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = MergeEncoder(model)
-    return _ENCODERS[key]
-
-
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids, decoded): the token ids of every whole text with an end id, and the text they decode to.
 
@@ -226,7 +214,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
     schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model.value)
+        enc = MergeEncoder(model.value)  # goes with the task, so that idle workers hold no cache
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
