@@ -12,9 +12,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,15 +133,19 @@ def training_sample(docs: DataFrame, text: str, lang: str, key: str, limit: int)
               .where(F.col("draw") * F.col("count") <= 2.0 * limit)
               .withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit))
 
-    @F.pandas_udf("array<double>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(features)
+    @F.arrow_udf("array<double>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     return chosen.select("lang", vectors("text").alias("x")).where("x is not null")
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", limit: int = SAMPLE) -> Model:
     """The model learned from labelled documents that are not held out; no labelled document gives no language."""
+    # imported here, as the workers that predict need none of it
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
     sample = stored(training_sample(docs, text, lang, key, limit), "sample").withColumn("x", array_to_vector("x"))
     langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
     model = Model(families=sorted({family_of(x) for x in langs}))
@@ -173,9 +175,12 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """The column (lang_pred, score) for the whole texts of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        model = sent.value
+        found = [model.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays(
+            [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang_pred", "score"])
 
     return predict(F.col(text).cast("string"))
 

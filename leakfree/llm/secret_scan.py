@@ -12,13 +12,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "novel")
+_SLICE = 256
 
 ASSIGN = re.compile(
     r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -143,9 +143,11 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the secrets of ``text`` replaced; nulls and texts without secrets stay as they are."""
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(redact, na_action="ignore")
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        parts = [texts.slice(i, _SLICE) for i in range(0, len(texts), _SLICE)]  # few texts are Python strings at a time
+        done = [pa.array([redact(t.as_py()) for t in part], pa.string()) for part in parts]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return docs.withColumn(text, cleaned(F.col(text)))
 
