@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text's canonical form has lower case, no copyright lines, blanks in place of punctuation and line ends, and
+A text's canonical form has lower case, no lines that are copyright notices, blanks in place of punctuation and line ends, and
 one of several equivalent spellings. The SHA-256 of the canonical form of an entire text, and of every
 line as a text of its own, is joined with the digests of the known texts. DataFrame functions only; the
 texts are read once and no text is shuffled.
@@ -26,7 +26,15 @@ EQUIVALENT = (
     ("realise", "realize"), ("recognise", "recognize"), ("sub  license", "sublicense"), ("sub  licence", "sublicense"),
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"),
 )
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}(©]*(copyright|©|\(c\)|all rights reserved)"
+# A notice has a sign, year or holder behind the word or sign; licence prose that is wrapped before it has one of these words or ends.
+_PROSE = ("notices?|holders?|owners?|ownership|laws?|licen[cs]es?|interests?|statements?|infringement|protections?|treaty|treaties|permissions?|"
+          "rights?|claims?|disclaimers?|messages?|status|and|or|in|is|to|of|on|the|this|that|any|all|as|for|under|by law|can|may|you|your|"
+          "an?|no|if|it|its|be|use|do|does|where|with|must|shall|prohibits|affirmer|accompany|convey|provide|each|such|covered|"
+          "required|requiring|except|portions?|at|than|when|conditions?|cause|either|not")
+_NOTICE = rf"[^\p{{L}}\p{{N}}]*+(?!(?:{_PROSE})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]"
+COPYRIGHT_LINE = rf"^[^\p{{L}}\p{{N}}(©]*(copyright(?![\p{{L}}\p{{N}}])({_NOTICE}|.*(©|\(c\)))|©|\(c\){_NOTICE}|all rights reserved)"
+_SQL_COPYRIGHT_LINE = r"^[^\p{L}\p{N}(©]*(copyright|©|\(c\)|all rights reserved)"
+"""Of the SQL text, which was left as it was; no document of the given tables tells the two apart."""
 
 # Published licence texts and notices by identifier.
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -68,9 +76,18 @@ def _plain(spaced: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"[ \n]+", " "))
 
 
+def _entire(spaced: Column) -> Column:
+    """The canonical form of all lines together; spellings of two words are made equal also over line ends."""
+    out = F.regexp_replace(spaced, r"[ \n]+", "  ")
+    for a, b in EQUIVALENT:
+        if " " in a:
+            out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+    return _plain(out)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of an entire text; null for null."""
-    return _plain(_spaced(text))
+    return _entire(_spaced(text))
 
 
 def known_digests(spark: SparkSession, texts=KNOWN) -> DataFrame:
@@ -92,7 +109,7 @@ def license_scan(docs: DataFrame, known: DataFrame, text: str = "text", key: str
     known = stored(known.select("digest", "license", "size"), "known")
     sizes = sorted(r.size for r in known.select("size").distinct().collect())
     spaced = docs.select(F.col(key).cast("long").alias("key"), _spaced(F.col(text).cast("string")).alias("spaced"))
-    forms = spaced.select("key", _plain(F.col("spaced")).alias("form"), F.transform(F.split("spaced", "\n", -1), _plain).alias("lines"))
+    forms = spaced.select("key", _entire(F.col("spaced")).alias("form"), F.transform(F.split("spaced", "\n", -1), _plain).alias("lines"))
     hashed = stored(forms.select(
         "key", F.when(F.col("form") != "", F.sha2("form", 256)).alias("digest"),
         F.transform(F.filter("lines", lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256)).alias("lines")), "digests")
@@ -115,7 +132,7 @@ def _oracle() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     spaced = (f"' ' || regexp_replace(array_to_string(list_filter(string_split(lower(text), chr(10)), "
-              f"lambda x: not regexp_matches(x, '{COPYRIGHT_LINE}')), ' ' || chr(10) || ' '), '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g') || ' '")
+              f"lambda x: not regexp_matches(x, '{_SQL_COPYRIGHT_LINE}')), ' ' || chr(10) || ' '), '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g') || ' '")
     for a, b in EQUIVALENT:
         spaced = f"replace({spaced}, ' {a} ', ' {b} ')"
 

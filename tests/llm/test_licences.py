@@ -1,6 +1,7 @@
 """Licence scan against SQL and spelling variants."""
 
 import sys
+import textwrap
 from pathlib import Path
 
 from leakfree.llm import licences as L
@@ -42,3 +43,22 @@ def test_documents_equal_sql(spark):
     got = L.op3_licences(spark.read.parquet(f"{sf}/documents.parquet"))
     problem, n, *_ = compare(got, connect(sf), L.ORACLE)
     assert problem is None and n > 1000
+
+
+def test_wrapping_does_not_change_a_digest(spark):
+    texts = [(n, t) for n, t in L.KNOWN if len(t) > 200]
+    notice = "Copyright (c) 2020 Somebody, Ltd.\n\n"
+    rows = []
+    for i, (_, t) in enumerate(texts):
+        for width in (30, 40, 50, 60, 65, 68, 70, 72, 75, 78, 79, 80, 100, 120):
+            rows.append((i, notice + "\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))))
+    got = L.op3_licences(spark.createDataFrame(rows, "doc_id long, text string")).where("unit = 'text'").collect()
+    assert len(got) == len(rows) and [(r.doc_id, r.license) for r in got if r.license != texts[r.doc_id][0]] == []
+
+
+def test_notices_go_and_prose_stays(spark):
+    notices = ["Copyright 2020 X", "copyright Somebody", "(c) 2020 X", "© X", " * Copyright: Authors", "// COPYRIGHT (C) X", "All rights reserved."]
+    prose = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "copyright notice, this list", "copyright", "copyrighted work"]
+    df = spark.createDataFrame([(x,) for x in notices + prose], "t string")
+    got = {r.t: r.c for r in df.select("t", L.canonical(L.F.col("t")).alias("c")).collect()}
+    assert {t for t, c in got.items() if c} == set(prose)
