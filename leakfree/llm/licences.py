@@ -8,6 +8,9 @@ texts are read once and no text is shuffled.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,8 @@ EQUIVALENT = (
 _PROSE = ("notices?|holders?|owners?|ownership|laws?|licen[cs]es?|interests?|statements?|infringement|protections?|treaty|treaties|permissions?|"
           "rights?|claims?|disclaimers?|messages?|status|and|or|in|is|to|of|on|the|this|that|any|all|as|for|under|by law|can|may|you|your|"
           "an?|no|if|it|its|be|use|do|does|where|with|must|shall|prohibits|affirmer|accompany|convey|provide|each|such|covered|"
-          "required|requiring|except|portions?|at|than|when|conditions?|cause|either|not")
+          "required|requiring|except|portions?|at|than|when|conditions?|cause|either|not|"
+          "patents?|lines?|also|those|are|doctrines?|like|representations")
 _NOTICE = rf"[^\p{{L}}\p{{N}}]*+(?!(?:{_PROSE})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]"
 COPYRIGHT_LINE = rf"^[^\p{{L}}\p{{N}}(©]*(copyright(?![\p{{L}}\p{{N}}])({_NOTICE}|.*(©|\(c\)))|©|\(c\){_NOTICE}|all rights reserved)"
 _SQL_COPYRIGHT_LINE = r"^[^\p{L}\p{N}(©]*(copyright|©|\(c\)|all rights reserved)"
@@ -62,6 +66,53 @@ KNOWN = (
 )
 
 
+_GPL_NOTICE = """This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{stop} {version}
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+
+You should have received a copy of the GNU {name} along with this program{end}"""
+_GPL_ENDS = (
+    ". If not, see <https://www.gnu.org/licenses/>.", "; if not, see <https://www.gnu.org/licenses/>.",
+    "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "; if not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA.",
+)
+_GPL_NAMES = (("GPL", "General Public License", ("2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")), ("AGPL", "Affero General Public License", ("3",)))
+NOTICES = (
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    *[(f"{code}-{v if '.' in v else v + '.0'}-{kind}", _GPL_NOTICE.format(name=name, end=end, version=version.format(v), mark=mark, stop=stop))
+      for code, name, versions in _GPL_NAMES for v in versions for end in _GPL_ENDS for mark, stop in ((":", ","), (";", ";"))
+      for kind, version in (("or-later", "either version {} of the License, or (at your option) any later version."), ("only", "version {} of the License."))],
+)
+TITLES = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
+TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-1.0-only", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.0-only",
+         "LGPL-2.1-only", "LGPL-3.0-only", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """KNOWN, NOTICES and the published texts of TEXTS; those with clauses also without their numbers, some also with a title."""
+    out = [*KNOWN, *NOTICES]
+    for name in TEXTS:
+        data = pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()
+        for text in {data, re.sub(r"(?m)^\s*\d\. ", "", data)} if name in TITLES else {data}:
+            out += [(name, text), (name, f"{TITLES.get(name, '')}\n\n{text}")]
+        if "\nAPPENDIX: " in (flat := re.sub(r"(?m)^ +", "", data)):
+            out.append((name, flat[:flat.index("\nAPPENDIX: ")]))
+        elif name.startswith(("GPL", "LGPL")) and (m := re.search(r"END OF TERMS AND CONDITIONS", data)):
+            out += [(name, data[:m.end()]), (name, data[:m.start()])]
+    return out
+
+
 def _spaced(text: Column) -> Column:
     """Lower case without copyright lines and punctuation, spellings made equal; words are parted by two blanks, lines by \\n."""
     lines = F.filter(F.split(F.lower(text), "\n", -1), lambda x: ~x.rlike(COPYRIGHT_LINE))
@@ -90,10 +141,13 @@ def canonical(text: Column) -> Column:
     return _entire(_spaced(text))
 
 
-def known_digests(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """(digest, license, size): known texts by the digest of their canonical form; a digest has its smallest identifier."""
+def known_digests(spark: SparkSession, texts=None) -> DataFrame:
+    """(digest, license, size): known texts by the digest of their canonical form; a digest has its smallest identifier.
+
+    ``texts`` has pairs of identifier and text; without it these are ``known_texts()``.
+    """
     form = canonical(F.col("text"))
-    known = spark.createDataFrame(list(texts), "license string, text string").select("license", form.alias("form")).where("form <> ''")
+    known = spark.createDataFrame(list(known_texts() if texts is None else texts), "license string, text string").select("license", form.alias("form")).where("form <> ''")
     return known.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("form")).alias("size"))
 
 

@@ -1,5 +1,6 @@
 """Licence scan against SQL and spelling variants."""
 
+import re
 import sys
 import textwrap
 from pathlib import Path
@@ -62,3 +63,16 @@ def test_notices_go_and_prose_stays(spark):
     df = spark.createDataFrame([(x,) for x in notices + prose], "t string")
     got = {r.t: r.c for r in df.select("t", L.canonical(L.F.col("t")).alias("c")).collect()}
     assert {t for t, c in got.items() if c} == set(prose)
+
+
+def test_every_published_text_is_known_at_any_width(spark):
+    rows = []
+    for name, text in L.known_texts():
+        if len(text) > 200:
+            paragraphs = re.split(r"\n\s*\n", text)
+            for width in (30, 66, 72, 79, 100):  # a notice keeps its lines
+                rows.append((len(rows), "\n\n".join(p if re.search(r"(?i)copyright (\(c\)|\[)", p) else textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in paragraphs), name))
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = {r.doc_id: r.license for r in L.op3_licences(df).where("unit = 'text'").collect()}
+    missed = {(n, k) for k, _, n in rows if got[k] != n}
+    assert {n for _, _, n in rows} >= {*L.TEXTS, "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later"} and missed == set()
