@@ -1,10 +1,11 @@
 """Secrets by pattern, and by dictionary-primed compression novelty.
 
 The base patterns find assignments, access keys and hexadecimal runs. Novelty looks at strings that
-follow a sensitive word on the same line and that the base patterns left: each is compressed with a
+follow a sensitive word on the same line, or behind a colon or equals sign on the next, and that the base patterns left: each is compressed with a
 zstandard dictionary made of common identifiers and of the text around it, so that what the
 surroundings or usual code would predict costs few bytes. A string whose marginal bytes come near
-its length is random to all that is known around it, and is reported.
+its length is random to all that is known around it, and is reported. A PEM private key is reported
+up to its END mark if a string in it is.
 """
 
 from __future__ import annotations
@@ -29,12 +30,17 @@ ASSIGN_MIN = 6
 _ASSIGN_STEMS = ("passw", "secret", "token", "api")
 
 CONTEXT = re.compile(
-    r"(?i:passw(?:or)?d|passphrase|\bpwd\b|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|\bauth|credential|bearer|signature)",
+    r"(?i:passw(?:or)?d|passphrase|\bpwd\b|secret|token|api[_-]?key|access[_-]?key|private[\x20_-]?key|\bauth|credential|bearer|signature)",
     re.ASCII)
 _CONTEXT_STEMS = ("passw", "passph", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 REACH = 48
 """A candidate begins at most so many code points after the end of a sensitive word, on its line."""
+NEXT_LINE = re.compile(r"""[\w-]*["']?[\x20\t]*[:=][\x20\t]*(?:[|>][+-]?[\x20\t]*)?["']?\r?\n[\x20\t]*(?:-[\x20\t]+)?["']?""", re.ASCII)
+"""From a sensitive word that a line's end parts from its value to that value."""
+PEM_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+PEM_LINES = re.compile(r"(?:\s*[A-Za-z0-9+/=]{16,})*", re.ASCII)
+"""A key goes to the END mark; without one these lines are it."""
 AROUND = 512
 """Code points before and after a candidate that prime the dictionary."""
 NOVELTY = 0.8
@@ -84,7 +90,24 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     if not any(s in low for s in _CONTEXT_STEMS):
         return []
     out, done = [], 0
+
+    def novel(start: int, end: int) -> bool:
+        return marginal_share(text[start:end], text[max(0, start - AROUND):start] + text[end:end + AROUND]) >= NOVELTY
+
+    keys = []
+    for m in PEM_BEGIN.finditer(text):
+        stop = text.find("-----END ", m.end())
+        begun = text.find("-----BEGIN ", m.end())
+        if stop < 0 or 0 <= begun < stop:
+            stop = PEM_LINES.match(text, m.end()).end()
+        if any(novel(*c.span()) for c in CANDIDATE.finditer(text, m.end(), stop)):
+            keys.append((m.end(), 3, stop))
     for m in CONTEXT.finditer(text):
+        if (x := NEXT_LINE.match(text, m.end())) and (c := CANDIDATE.match(text, x.end())) and c.start() >= done:
+            start, end = c.span()
+            if any(x.isalpha() for x in c.group()) and not any(a < end and start < b for a, _, b in base + keys) and novel(start, end):
+                out.append((start, 3, end))
+                done = end
         line_end = text.find("\n", m.end())
         line_end = len(text) if line_end < 0 else line_end
         at = max(m.end(), done)
@@ -92,13 +115,13 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             start, end = c.span()
             at = done = end
             s = c.group()
-            if not (any(x.isdigit() for x in s) and any(x.isalpha() for x in s)):
+            if not any(x.isalpha() for x in s):
                 continue
-            if any(a < end and start < b for a, _, b in base):
+            if any(a < end and start < b for a, _, b in base + keys):
                 continue
-            if marginal_share(s, text[max(0, start - AROUND):start] + text[end:end + AROUND]) >= NOVELTY:
+            if novel(start, end):
                 out.append((start, 3, end))
-    return out
+    return out + keys
 
 
 def secret_spans(text: str | None) -> list[tuple[int, int, int]]:

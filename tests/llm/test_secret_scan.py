@@ -44,6 +44,21 @@ def test_novel_strings_need_context_and_novelty():
     assert S.redact("password: " + "0123456789abcdef" * 2 + "!") == "[SECRET]!"
 
 
+def test_keys_and_values_over_line_ends():
+    rnd = random.Random(8)
+    key, letters = "Zx9QmR4tLk7WvB2nYp8Hs3Dg6", "QzXkVwJpRtYbNcMfGhLd"
+    body = "\n".join("".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) for _ in range(4))
+    for kind in ("", "RSA ", "ENCRYPTED "):
+        text = f"x\n-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----\ny"
+        assert not set(body.split("\n")) & set(S.redact(text).split("\n")) and S.redact(text).endswith("-----\ny")
+        assert body[:64] not in S.redact(text[:text.index("-----END")])
+    assert S.redact(f"password:\n  {key}\nb") == "password:\n  [SECRET]\nb"
+    assert S.redact(f'"client_secret":\n    "{key}",') == '"client_secret":\n    "[SECRET]",'
+    assert S.redact(f"client_secret: >-\n  {key}\n") == "client_secret: >-\n  [SECRET]\n"
+    assert S.redact(f"bearer {letters} end") == "bearer [SECRET] end"
+    assert S.redact(f"private key {key}") == "private key [SECRET]"
+
+
 def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in S.op7_secrets(docs).collect()}
