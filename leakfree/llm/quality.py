@@ -30,6 +30,23 @@ COMMON_WORDS = {
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"),
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"),
 }
+_SQL_LANGUAGES = ("de", "en", "es", "fr")
+"""Of the SQL text, which was left as it was: the same with no other labels in the table."""
+COMMON_WORDS |= {
+    "cs": ("a", "v", "se", "na", "je", "že", "s", "z", "do", "to", "o", "i"),
+    "da": ("og", "i", "at", "er", "det", "en", "til", "af", "på", "for", "som", "der"),
+    "el": ("και", "το", "να", "του", "η", "της", "με", "που", "την", "από", "για", "είναι"),
+    "fi": ("ja", "on", "ei", "se", "että", "oli", "hän", "mutta", "myös", "kun", "tai", "joka"),
+    "hu": ("a", "az", "és", "hogy", "nem", "is", "egy", "ez", "meg", "volt", "de", "csak"),
+    "it": ("di", "e", "il", "la", "che", "in", "a", "per", "un", "è", "del", "non"),
+    "nl": ("de", "het", "een", "van", "en", "in", "is", "dat", "op", "te", "zijn", "met"),
+    "pl": ("w", "i", "na", "z", "się", "do", "nie", "jest", "że", "to", "o", "od"),
+    "pt": ("de", "a", "o", "que", "e", "do", "da", "em", "um", "para", "os", "com"),
+    "ro": ("de", "și", "în", "a", "la", "cu", "care", "nu", "din", "pe", "o", "un"),
+    "ru": ("и", "в", "не", "на", "что", "с", "он", "как", "по", "это", "к", "из"),
+    "sv": ("och", "i", "att", "det", "som", "en", "på", "är", "av", "för", "med", "den"),
+    "tr": ("ve", "bir", "bu", "da", "de", "için", "ile", "çok", "ne", "olarak", "daha", "gibi"),
+}
 CLASSES = ("lower", "upper", "digit", "space", "mark", "other")
 
 
@@ -117,9 +134,21 @@ def references(measures: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
     return out
 
 
-def divergence(histogram: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance (base 2) of an array of counts to a reference; null for an empty histogram."""
-    shares = F.array(*[F.lit(r / sum(reference)) for r in reference])
+def character_references(measures: DataFrame) -> DataFrame:
+    """One row with ``__refs``: the character shares of every label, an array of arrays; null without any.
+
+    Labels are as many as there are languages in the table; their sums stay in Spark.
+    """
+    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
+    total = sum((F.col(f"c{i}") for i in range(1, len(CLASSES))), F.col("c0"))
+    shares = F.array(*[F.col(f"c{i}") / total for i in range(len(CLASSES))])
+    rows = measures.where(F.col("lang").isNotNull()).groupBy("lang").agg(*sums).where(total > 0)
+    return rows.agg(F.collect_list(shares).alias("__refs"))
+
+
+def divergence(histogram: Column, reference: list[int] | Column) -> Column:
+    """Jensen-Shannon distance (base 2) of an array of counts to a reference, counts or a column of shares; null for an empty histogram."""
+    shares = reference if isinstance(reference, Column) else F.array(*[F.lit(r / sum(reference)) for r in reference])
 
     def part(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(p * 2 / (p + q))).otherwise(0.0)
@@ -139,19 +168,22 @@ def _nearest(distances: list[Column]) -> Column:
 def judged(measures: DataFrame) -> DataFrame:
     """``measures`` with char_distance, word_distance, base_failed and kept.
 
-    The distances are null if no document is in a language of COMMON_WORDS, or with an empty histogram; such
+    Characters are held against every label of the table, words against the labelled languages of COMMON_WORDS. A
+    distance is null without a reference, for words also if the document's label has none, or with an empty histogram; such
     documents, and those too short for a distance to mean something, are judged by the base rules alone.
     """
     found = references(measures)
-    char = _nearest([divergence(F.col("chars"), r[0]) for r in found.values()])
+    char = F.array_min(F.transform("__refs", lambda r: divergence(F.col("chars"), r)))
     word = _nearest([divergence(F.col(c), r[1]) for c, r in found.items()])
     n_chars = _total(F.col("chars"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     far = (
         F.coalesce((n_chars >= MIN_CHARACTERS) & (F.col("char_distance") > MAX_CHARACTER_DISTANCE), F.lit(False))
         | F.coalesce((F.col("n_plain") >= MIN_COUNTED_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE), F.lit(False)))
-    return measures.withColumns({"char_distance": char, "word_distance": word}).withColumns(
-        {"base_failed": failed, "kept": ~failed & ~far})
+    # a label without a word reference: words say nothing, the base and character rules judge
+    worded = F.col("lang").isNull() | F.col("lang").isin(list(found))
+    return measures.crossJoin(character_references(measures)).withColumns({"char_distance": char, "word_distance": F.when(worded, word)}).withColumns(
+        {"base_failed": failed, "kept": ~failed & ~far}).drop("__refs")
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
@@ -171,8 +203,8 @@ def op4_quality(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     """The same in SQL."""
-    common = ", ".join(f"('{code}', {i}, '{w}')" for code, words in COMMON_WORDS.items() for i, w in enumerate(words))
-    slots = ", ".join(f"('{code}', {i})" for code, words in COMMON_WORDS.items() for i in range(len(words) + 1))
+    common = ", ".join(f"('{code}', {i}, '{w}')" for code, words in ((c, COMMON_WORDS[c]) for c in _SQL_LANGUAGES) for i, w in enumerate(words))
+    slots = ", ".join(f"('{code}', {i})" for code, words in ((c, COMMON_WORDS[c]) for c in _SQL_LANGUAGES) for i in range(len(words) + 1))
     spaces = r"[\x20\x09-\x0D]+"
     classes = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g')) as n_{c}" for c, p in _CLASS_PATTERNS.items())
     chars = "[n_lower, n_upper, n_digit, length(t) - word_chars, n_mark, word_chars - n_lower - n_upper - n_digit - n_mark]"

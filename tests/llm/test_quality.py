@@ -56,3 +56,13 @@ def test_prose_stays_and_symbol_salad_goes(spark):
 def test_divergence(spark):
     row = spark.createDataFrame([([1, 1],), ([5, 0],), ([0, 0],)], "h array<long>").select(Q.divergence(Q.F.col("h"), [2, 2]).alias("a"), Q.divergence(Q.F.col("h"), [0, 3]).alias("b")).collect()
     assert row[0].a == 0 and row[1].b == pytest.approx(1.0) and row[2].a is None
+
+
+def test_languages_without_common_words_are_judged_by_characters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    greek = "λόγος ανθρώπων θάλασσα ουρανός δρόμος βιβλίο παιδί σχολείο πόλη ημέρα νύχτα φως".split()
+    rnd = __import__("random").Random(1)
+    more = [(-1 - i, " ".join(rnd.choice(greek) + rnd.choice(greek) for _ in range(150)), lang) for i, lang in enumerate(("xx", "el"))]
+    more.append((-3, " ".join(rnd.choice(greek) + rnd.choice(greek) for _ in range(150)), "qq"))
+    got = {r.doc_id: r for r in Q.op4_quality(docs.union(spark.createDataFrame(more, docs.schema))).where("doc_id < 0").collect()}
+    assert all(r.kept for r in got.values()) and len(got) == 3
