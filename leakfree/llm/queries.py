@@ -12,6 +12,7 @@ from .common import table
 from .language import op2_language
 from .licences import ORACLE as LICENCE_SQL
 from .licences import op3_licences
+from .manifest import op13_manifest
 from .mixing import op10_mixing
 from .passages import op6_passages
 from .pieces import op9_sentencepiece
@@ -43,3 +44,4 @@ _register("op1_arc_to_warc", "pages", op1_warc)
 _register("op5_segment_topk", "embeddings", op5_topk, TOPK_SQL)
 _register("op3_licence_digests", "documents", op3_licences, LICENCE_SQL)
 _register("op6_chained_passages", "documents", op6_passages)
+_register("op13_merkle_manifest", "documents", op13_manifest)
