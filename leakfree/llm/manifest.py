@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import row_numbers
+from ..operators.ordered import ordered_prefix
 from ..session import stored
 
 FANOUT = 3
@@ -70,9 +70,8 @@ def _depth(block: int, size: int, fanout: int, depth: int) -> int | None:
 
 def place_leaves(leaves: DataFrame, order: Sequence[str], fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
     """``leaves`` with ``place`` (from 0, in its group ``g``) and ``block``."""
-    numbered = row_numbers(leaves, ["g"], [F.col(c) for c in order], "place")
-    place = F.col("place").cast("long") - 1
-    return numbered.withColumns({"place": place, "block": F.floor(place / fanout**depth).cast("long")})
+    numbered = ordered_prefix(leaves, ["g"], [F.col(c) for c in order], {"place": F.lit(1).cast("long")})
+    return numbered.withColumn("block", F.floor(F.col("place") / fanout**depth).cast("long"))
 
 
 def block_roots(placed: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:

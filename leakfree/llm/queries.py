@@ -14,6 +14,8 @@ from .licences import ORACLE as LICENCE_SQL
 from .licences import op3_licences
 from .manifest import op13_manifest
 from .mixing import op10_mixing
+from .negatives import ORACLE as NEGATIVES_SQL
+from .negatives import op12_negatives
 from .passages import op6_passages
 from .pieces import op9_sentencepiece
 from .quality import ORACLE as QUALITY_SQL
@@ -45,3 +47,4 @@ _register("op5_segment_topk", "embeddings", op5_topk, TOPK_SQL)
 _register("op3_licence_digests", "documents", op3_licences, LICENCE_SQL)
 _register("op6_chained_passages", "documents", op6_passages)
 _register("op13_merkle_manifest", "documents", op13_manifest)
+_register("op12_hard_negatives", "embeddings", op12_negatives, NEGATIVES_SQL)
