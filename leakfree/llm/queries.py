@@ -18,6 +18,7 @@ from .negatives import ORACLE as NEGATIVES_SQL
 from .negatives import op12_negatives
 from .passages import op6_passages
 from .pieces import op9_sentencepiece
+from .postings import op11_nearest
 from .quality import ORACLE as QUALITY_SQL
 from .quality import op4_quality
 from .secret_scan import op7_secrets
@@ -48,3 +49,4 @@ _register("op3_licence_digests", "documents", op3_licences, LICENCE_SQL)
 _register("op6_chained_passages", "documents", op6_passages)
 _register("op13_merkle_manifest", "documents", op13_manifest)
 _register("op12_hard_negatives", "embeddings", op12_negatives, NEGATIVES_SQL)
+_register("op11_posting_lists", "embeddings", op11_nearest)
