@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWNED: ContextVar[tuple[list[str], ...]] = ContextVar("_OWNED", default=())
+"""The tables written inside each open ``scratch`` block, the innermost last."""
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the library relies on (UTC, AQE with skew handling)."""
@@ -68,9 +74,54 @@ def folder_stamp(spark: SparkSession, path: str, depth: int = 1) -> tuple[tuple[
     return tuple(sorted(out))
 
 
+class Scratch:
+    """The tables written inside a ``scratch`` block."""
+
+    def __init__(self, spark: SparkSession, outer: tuple[list[str], ...]) -> None:
+        self.spark, self._outer, self._own = spark, outer, []
+
+    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
+        """``df`` as a table that outlives the block; an enclosing block owns it, if there is one."""
+        token = _OWNED.set(self._outer)
+        try:
+            return stored(df, name)
+        finally:
+            _OWNED.reset(token)
+
+    def clear(self) -> None:
+        """Delete what was written so far; nothing may read it any more."""
+        while self._own:
+            delete_path(self.spark, self._own.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A block that owns the tables ``stored`` writes inside it and deletes them when it ends, by an error too.
+
+    A result that is read later must be written out inside the block, or handed over by ``keep``. Blocks nest. Operators whose
+    result is lazy cannot know when it has been read, so the block belongs to whoever reads it. Nothing is deleted
+    outside of blocks.
+    """
+    block = Scratch(spark, _OWNED.get())
+    token = _OWNED.set((*block._outer, block._own))
+    try:
+        yield block
+    finally:
+        _OWNED.reset(token)
+        block.clear()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table through the file system that holds it; a missing one is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_stage(df: DataFrame, name: str, partition: str | None = None) -> str:
     """Write ``df`` as a parquet table in the shared folder; returns its path."""
     path = scratch_path(df.sparkSession, name)
+    if _OWNED.get():
+        _OWNED.get()[-1].append(path)
     if partition:
         df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
     else:
@@ -85,7 +136,16 @@ def stored(df: DataFrame, name: str = "stage", partition: str | None = None) ->
     the result is columnar, so later steps read only their columns, and its size is known to the
     planner, which then broadcasts it only if it is small.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, name, partition))
+    path = write_stage(df, name, partition)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the table of ``df`` if ``stored`` made it; nothing may read it any more."""
+    if (path := vars(df).get("stage_path")) is not None:
+        delete_path(df.sparkSession, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
