@@ -44,3 +44,11 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             start = i
     if held:
         yield key, pa.Table.from_batches(held)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

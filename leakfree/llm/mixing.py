@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import null_safe_join, ordered_prefix, row_numbers
-from ..session import stored
-from .common import WORD
+from ..session import scratch, stored
+from .common import WORD, free_name
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -140,14 +140,22 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The documents of the mix: every row of ``docs`` as often as it has copies."""
-    _, copies = mix(docs, text, source, key)
-    chosen = copies.where("copies > 0").select(
-        F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    """The documents of the mix: every row of ``docs`` as often as it has copies, with the columns of ``docs``.
+
+    Nulls, repeated rows and sources without words are treated as by ``mix``: rows that agree in key, source and size have
+    the same copies. A null text has size 0. Other columns are kept and may have any name. An empty table gives no rows.
+    Only the table of copies is left in the shared folder.
+    """
+    names = ("key", "source", "size", "copies")
+    own = {n: free_name(docs, f"mix_{n}") for n in names}
+    with scratch(docs.sparkSession) as block:
+        _, copies = mix(docs, text, source, key)
+        chosen = block.keep(copies.where("copies > 0").select(*names), "copies").withColumnsRenamed(own)
     matched = docs.join(chosen, (
-        F.col(key).cast("long").eqNullSafe(F.col("__key")) & F.col(source).cast("string").eqNullSafe(F.col("__source"))
-        & (word_count(F.col(text)) == F.col("__size"))))
-    return matched.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])
+        F.col(key).cast("long").eqNullSafe(F.col(own["key"])) & F.col(source).cast("string").eqNullSafe(F.col(own["source"]))
+        & (word_count(F.col(text)) == F.col(own["size"]))))
+    again = matched.withColumn(free_name(docs, "mix_copy"), F.explode(F.sequence(F.lit(1), F.col(own["copies"]))))
+    return again.select(*[docs[c] for c in docs.columns])
 
 
 def op10_mixing(docs: DataFrame) -> DataFrame:

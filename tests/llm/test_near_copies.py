@@ -12,6 +12,31 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
+def shingle_sets(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_near_copies(texts):
+    """Every key's smallest key reachable over links of similarity 0.8 and more, by all pairs."""
+    sets, root = {k: shingle_sets(t) for k, t in texts.items()}, {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for n, a in enumerate(keys):
+        for b in keys[n + 1:]:
+            x, y = sets[a], sets[b]
+            both = len(x & y)
+            if (both >= 0.8 * (len(x) + len(y) - both)) if x or y else True:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {k: find(k) for k in keys}
+
+
 def planted(n=400, seed=1):
     rnd = random.Random(seed)
     rows = []
@@ -34,6 +59,28 @@ def test_recall_and_precision_of_the_stage(spark, sf):
     assert len(near & kept) <= 0.02 * len(near)
 
 
+def test_given_documents_against_all_pairs(spark):
+    """On the documents of sf0.01 the classes are those of all pairs, and so recall is 1 in every band of similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_near_copies({r.doc_id: r.text for r in docs.collect()})
+    got = {r.key: r.component for r in N.near_copies(docs).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_nulls_repeats_empty_tables_and_hot_groups(spark):
+    rnd = random.Random(5)
+    hot = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(hot) if i % 2 else " ".join(hot[:i % 7 + 1] + [f"x{i}"] + hot[i % 7 + 2:])) for i in range(300)]
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "One  two"), (903, "one two"), (None, "one two"), (None, "alone here"), (905, "a b c d e f")]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "2 as d", "3 as key", "4 as component")
+    got = sorted(((r.key, r.component) for r in N.near_copies(df).collect()), key=str)
+    named = {k: t for k, t in rows if k is not None}
+    want = brute_near_copies(named)
+    assert got == sorted([(k, want[k]) for k, _ in rows if k is not None] + [(None, 903), (None, None)], key=str)
+    assert N.near_copies(df.limit(0)).collect() == []
+
+
 def test_hashes_restate_the_sets():
     rnd = random.Random(3)
     for _ in range(50):
