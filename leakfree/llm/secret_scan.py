@@ -11,7 +11,8 @@ up to its END mark if a string in it is.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -33,11 +34,14 @@ CONTEXT = re.compile(
     r"(?i:passw(?:or)?d|passphrase|\bpwd\b|secret|token|api[_-]?key|access[_-]?key|private[\x20_-]?key|\bauth|credential|bearer|signature)",
     re.ASCII)
 _CONTEXT_STEMS = ("passw", "passph", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+LEAST = 16
+"""Code points of a candidate at least."""
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % LEAST)
 REACH = 48
 """A candidate begins at most so many code points after the end of a sensitive word, on its line."""
-NEXT_LINE = re.compile(r"""[\w-]*["']?[\x20\t]*[:=][\x20\t]*(?:[|>][+-]?[\x20\t]*)?["']?\r?\n[\x20\t]*(?:-[\x20\t]+)?["']?""", re.ASCII)
-"""From a sensitive word that a line's end parts from its value to that value."""
+NAME = re.compile(r"[\w-]*", re.ASCII)
+NEXT_LINE = re.compile(r"""["']?[\x20\t]*[:=][\x20\t]*(?:[|>][+-]?[\x20\t]*)?["']?\r?\n[\x20\t]*(?:-[\x20\t]+)?["']?""", re.ASCII)
+"""From the end of a name that a line's end parts from its value to that value."""
 PEM_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_LINES = re.compile(r"(?:\s*[A-Za-z0-9+/=]{16,})*", re.ASCII)
 """A key goes to the END mark; without one these lines are it."""
@@ -84,42 +88,68 @@ def marginal_share(candidate: str, around: str) -> float:
     return (len(compressor.compress(data)) - len(compressor.compress(b""))) / len(data)
 
 
+class _Spans:
+    """Spans that do not overlap, by start; asks for overlaps cost a binary search."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        joined: list[list[int]] = []
+        for start, end in sorted(spans):
+            if joined and start <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], end)
+            else:
+                joined.append([start, end])
+        self._starts, self._ends = [x[0] for x in joined], [x[1] for x in joined]
+
+    def meet(self, start: int, end: int) -> bool:
+        i = bisect_left(self._starts, end)
+        return i > 0 and self._ends[i - 1] > start
+
+
+def _pem_keys(text: str, novel: Callable[[int, int], bool]) -> list[tuple[int, int, int]]:
+    """The bodies of PEM private keys that hold a novel string."""
+    marks = [m.span() for m in PEM_BEGIN.finditer(text)]
+    if not marks:
+        return []
+    ends, begins = ([m.start() for m in re.finditer(x, text)] for x in ("-----END ", "-----BEGIN "))
+    keys = []
+    for _, at in marks:
+        stop, begun = (x[i] if (i := bisect_left(x, at)) < len(x) else -1 for x in (ends, begins))
+        if stop < 0 or 0 <= begun < stop:
+            stop = PEM_LINES.match(text, at).end()
+        if any(novel(*c.span()) for c in CANDIDATE.finditer(text, at, stop)):
+            keys.append((at, 3, stop))
+    return keys
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible strings in sensitive context that meet no base span."""
+    """Incompressible strings in sensitive context that meet no base span. The time is linear in the text."""
     low = text.lower()
     if not any(s in low for s in _CONTEXT_STEMS):
         return []
-    out, done = [], 0
+    out, done, line_end, name_end = [], 0, -1, -1
 
     def novel(start: int, end: int) -> bool:
         return marginal_share(text[start:end], text[max(0, start - AROUND):start] + text[end:end + AROUND]) >= NOVELTY
 
-    keys = []
-    for m in PEM_BEGIN.finditer(text):
-        stop = text.find("-----END ", m.end())
-        begun = text.find("-----BEGIN ", m.end())
-        if stop < 0 or 0 <= begun < stop:
-            stop = PEM_LINES.match(text, m.end()).end()
-        if any(novel(*c.span()) for c in CANDIDATE.finditer(text, m.end(), stop)):
-            keys.append((m.end(), 3, stop))
+    keys = _pem_keys(text, novel)
+    known = _Spans([(a, b) for a, _, b in base + keys])
     for m in CONTEXT.finditer(text):
-        if (x := NEXT_LINE.match(text, m.end())) and (c := CANDIDATE.match(text, x.end())) and c.start() >= done:
+        if name_end < m.end():
+            name_end = NAME.match(text, m.end()).end()
+        if (x := NEXT_LINE.match(text, name_end)) and (c := CANDIDATE.match(text, x.end())) and c.start() >= done:
             start, end = c.span()
-            if any(x.isalpha() for x in c.group()) and not any(a < end and start < b for a, _, b in base + keys) and novel(start, end):
+            if any(x.isalpha() for x in c.group()) and not known.meet(start, end) and novel(start, end):
                 out.append((start, 3, end))
                 done = end
-        line_end = text.find("\n", m.end())
-        line_end = len(text) if line_end < 0 else line_end
-        at = max(m.end(), done)
-        while (c := CANDIDATE.search(text, at, line_end)) and c.start() <= m.end() + REACH:
-            start, end = c.span()
-            at = done = end
-            s = c.group()
-            if not any(x.isalpha() for x in s):
-                continue
-            if any(a < end and start < b for a, _, b in base + keys):
-                continue
-            if novel(start, end):
+        if line_end < m.end():
+            line_end = text.find("\n", m.end())
+            line_end = len(text) if line_end < 0 else line_end
+        at, within = max(m.end(), done), min(line_end, m.end() + REACH + LEAST)
+        # the search ends where a candidate that begins within reach has shown its least length
+        while at < within and (c := CANDIDATE.search(text, at, within)):
+            start = c.start()
+            end = at = done = CANDIDATE.match(text, start, line_end).end()
+            if any(x.isalpha() for x in text[start:end]) and not known.meet(start, end) and novel(start, end):
                 out.append((start, 3, end))
     return out + keys
 

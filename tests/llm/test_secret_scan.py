@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from leakfree.llm import secret_scan as S
 
@@ -81,3 +82,13 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     assert got == sorted([(1, 0, ""), (None, 0, ""), (2, 1, "assign:0:12"), (2, 1, "assign:0:12")], key=str)
     assert S.op7_secrets(df.limit(0)).count() == 0
     assert [r.text for r in S.redact_secrets(df).orderBy("doc_id", "text").collect()] == ["", None, "[SECRET]", "[SECRET]"]
+
+
+def test_time_is_linear_in_long_lines():
+    """5 MB on one line, of words and marks that ask for a look ahead each time."""
+    size = 5_000_000
+    for unit in ("token ", "token", "password: ", "-----BEGIN PRIVATE KEY-----", "secret=abcdefgh ", "token=\n", "a" * 64 + "token ", "key", "deadbeef" * 4 + " "):
+        text = unit * (size // len(unit))
+        began = time.process_time()
+        S.secret_spans(text)
+        assert time.process_time() - began < 5 * 6, unit
