@@ -22,6 +22,8 @@ MAX_CHARACTER_DISTANCE = 0.2
 MIN_CHARACTERS = 300
 MAX_WORD_DISTANCE = 0.34
 MIN_COUNTED_WORDS = 100
+COMMON_SHARE = 1000
+"""Labels of at least one in so many labelled documents are references for all documents, any other label for its own."""
 
 # Common words by language.
 COMMON_WORDS = {
@@ -30,8 +32,6 @@ COMMON_WORDS = {
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"),
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"),
 }
-_SQL_LANGUAGES = ("de", "en", "es", "fr")
-"""Of the SQL text, which was left as it was: the same with no other labels in the table."""
 COMMON_WORDS |= {
     "cs": ("a", "v", "se", "na", "je", "že", "s", "z", "do", "to", "o", "i"),
     "da": ("og", "i", "at", "er", "det", "en", "til", "af", "på", "for", "som", "der"),
@@ -52,7 +52,6 @@ CLASSES = ("lower", "upper", "digit", "space", "mark", "other")
 
 _SYMBOLS = "[#*$%&|<>]"
 _CLASS_PATTERNS = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": "[0-9]", "mark": r"[!-/:-@\[-`{-~]"}
-_ALL_COMMON = sorted({w for words in COMMON_WORDS.values() for w in words})
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -66,15 +65,22 @@ def _occurrences(padded: Column, word: str) -> Column:
     return (gone / F.lit(len(word) + 2)).cast("long")
 
 
-def measured(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+def worded_labels(docs: DataFrame, lang: str = "lang") -> list[str]:
+    """The languages of COMMON_WORDS that are labels in the table; no other can have a word reference."""
+    found = docs.select(F.col(lang).cast("string").alias("lang")).where(F.col("lang").isin(list(COMMON_WORDS))).distinct()
+    return sorted(r.lang for r in found.collect())
+
+
+def measured(docs: DataFrame, codes: list[str], text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """(key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_plain, chars, <language>...) per row.
 
-    ``chars`` has the counts of CLASSES, each language column those of its common words and of all other
+    ``chars`` has the counts of CLASSES, the column of each language in ``codes`` those of its common words and of all other
     words. Repeated windows are found by sorting the windows' 64-bit hashes with their places: those with an
     equal neighbour are repeated, and their places, sorted, cover up to three words each. Arrays that
     lambdas look into are columns of their own, so that they are made once per row.
     """
     t = F.col("t")
+    common = sorted({w for c in codes for w in COMMON_WORDS[c]})
     start = docs.select(
         F.col(key).cast("long").alias("key"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     split = start.select(
@@ -91,14 +97,14 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
             F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i"))))).alias("windows"),
         *[_matches(t, p).alias(f"n_{c}") for c, p in _CLASS_PATTERNS.items()],
         F.length(t).alias("n_chars"), F.size("plain").alias("n_plain"),
-        F.concat(F.lit(" "), F.array_join(F.filter("plain", lambda x: x.isin(_ALL_COMMON)), "  "), F.lit(" ")).alias("padded"))
+        F.concat(F.lit(" "), F.array_join(F.filter("plain", lambda x: x.isin(common)), "  "), F.lit(" ")).alias("padded"))
     space = F.col("n_chars") - F.col("word_chars")
     other = F.col("word_chars") - F.col("n_lower") - F.col("n_upper") - F.col("n_digit") - F.col("n_mark")
     twins = counted.select(
         "key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_plain",
         F.filter("windows", lambda x, k: (x["h"] == F.get("windows", k - 1)["h"]) | (x["h"] == F.get("windows", k + 1)["h"])).alias("twins"),
         F.array(*[c.cast("long") for c in (F.col("n_lower"), F.col("n_upper"), F.col("n_digit"), space, F.col("n_mark"), other)]).alias("chars"),
-        *[F.array(*[_occurrences(F.col("padded"), w) for w in words]).alias(code) for code, words in COMMON_WORDS.items()])
+        *[F.array(*[_occurrences(F.col("padded"), w) for w in COMMON_WORDS[code]]).alias(code) for code in codes])
     placed = twins.withColumn("places", F.sort_array(F.transform("twins", lambda x: x["i"])))
     covered = F.aggregate(
         "places", F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("sum")),
@@ -107,43 +113,36 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return placed.select(
         "key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_plain", "chars",
-        *[F.concat(c, F.array(F.col("n_plain").cast("long") - _total(F.col(c)))).alias(c) for c in COMMON_WORDS])
+        *[F.concat(c, F.array(F.col("n_plain").cast("long") - _total(F.col(c)))).alias(c) for c in codes])
 
 
 def _total(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def references(measures: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """By language the summed histograms of all its documents; languages without any are left out.
+def references(measures: DataFrame, codes: list[str]) -> dict[str, list[int]]:
+    """By language of ``codes`` the summed word histogram of all its documents; languages without any word are left out.
 
-    Only the languages of COMMON_WORDS are summed, a fixed number of values comes to the driver.
+    A fixed number of values comes to the driver.
     """
-    columns = {}
-    for code, words in COMMON_WORDS.items():
-        own = F.col("lang") == code
-        columns |= {f"{code} c{i}": F.sum(F.when(own, F.get("chars", F.lit(i)))) for i in range(len(CLASSES))}
-        columns |= {f"{code} w{i}": F.sum(F.when(own, F.get(code, F.lit(i)))) for i in range(len(words) + 1)}
+    columns = {
+        f"{code} {i}": F.sum(F.when(F.col("lang") == code, F.get(code, F.lit(i))))
+        for code in codes for i in range(len(COMMON_WORDS[code]) + 1)}
+    if not columns:
+        return {}
     row = measures.agg(*[c.alias(n) for n, c in columns.items()]).first()
-    out = {}
-    for code, words in COMMON_WORDS.items():
-        chars = [row[f"{code} c{i}"] or 0 for i in range(len(CLASSES))]
-        counts = [row[f"{code} w{i}"] or 0 for i in range(len(words) + 1)]
-        if sum(chars) and sum(counts):
-            out[code] = chars, counts
-    return out
+    found = {code: [row[f"{code} {i}"] or 0 for i in range(len(COMMON_WORDS[code]) + 1)] for code in codes}
+    return {code: counts for code, counts in found.items() if sum(counts)}
 
 
 def character_references(measures: DataFrame) -> DataFrame:
-    """One row with ``__refs``: the character shares of every label, an array of arrays; null without any.
-
-    Labels are as many as there are languages in the table; their sums stay in Spark.
-    """
+    """(lang, shares, common): the character shares of every label with characters, and whether it is a common one."""
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
     total = sum((F.col(f"c{i}") for i in range(1, len(CLASSES))), F.col("c0"))
-    shares = F.array(*[F.col(f"c{i}") / total for i in range(len(CLASSES))])
-    rows = measures.where(F.col("lang").isNotNull()).groupBy("lang").agg(*sums).where(total > 0)
-    return rows.agg(F.collect_list(shares).alias("__refs"))
+    shares = F.array(*[F.col(f"c{i}") / total for i in range(len(CLASSES))]).alias("shares")
+    labels = stored(measures.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *sums), "labels")
+    whole = labels.agg(F.sum("n").alias("all"))
+    return labels.crossJoin(whole).where(total > 0).select("lang", shares, (F.col("n") * COMMON_SHARE >= F.col("all")).alias("common"))
 
 
 def divergence(histogram: Column, reference: list[int] | Column) -> Column:
@@ -165,16 +164,21 @@ def _nearest(distances: list[Column]) -> Column:
     return distances[0] if distances else F.lit(None).cast("double")
 
 
-def judged(measures: DataFrame) -> DataFrame:
+def judged(measures: DataFrame, codes: list[str]) -> DataFrame:
     """``measures`` with char_distance, word_distance, base_failed and kept.
 
-    Characters are held against every label of the table, words against the labelled languages of COMMON_WORDS. A
-    distance is null without a reference, for words also if the document's label has none, or with an empty histogram; such
-    documents, and those too short for a distance to mean something, are judged by the base rules alone.
+    Characters are held against the common labels of the table, which are at most COMMON_SHARE, and against the document's
+    own; words against the labels of the table that have common words (``codes``). A distance is null without a reference, for
+    words also if the document's label has none, or with an empty histogram; such documents, and those too
+    short for a distance to mean something, are judged by the base rules alone.
     """
-    found = references(measures)
-    char = F.array_min(F.transform("__refs", lambda r: divergence(F.col("chars"), r)))
-    word = _nearest([divergence(F.col(c), r[1]) for c, r in found.items()])
+    found = references(measures, codes)
+    labels = stored(character_references(measures), "labels")
+    common = labels.where("common").agg(F.collect_list("shares").alias("refs"))  # one row, bounded
+    held = measures.join(labels.select("lang", F.array("shares").alias("own")), "lang", "left").crossJoin(common)
+    refs = F.concat("refs", F.coalesce("own", F.array().cast("array<array<double>>")))
+    char = F.array_min(F.transform(refs, lambda r: divergence(F.col("chars"), r)))
+    word = _nearest([divergence(F.col(c), counts) for c, counts in found.items()])
     n_chars = _total(F.col("chars"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     far = (
@@ -182,8 +186,8 @@ def judged(measures: DataFrame) -> DataFrame:
         | F.coalesce((F.col("n_plain") >= MIN_COUNTED_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE), F.lit(False)))
     # a label without a word reference: words say nothing, the base and character rules judge
     worded = F.col("lang").isNull() | F.col("lang").isin(list(found))
-    return measures.crossJoin(character_references(measures)).withColumns({"char_distance": char, "word_distance": F.when(worded, word)}).withColumns(
-        {"base_failed": failed, "kept": ~failed & ~far}).drop("__refs")
+    return held.withColumns({"char_distance": char, "word_distance": F.when(worded, word)}).withColumns(
+        {"base_failed": failed, "kept": ~failed & ~far}).drop("refs", "own")
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
@@ -192,7 +196,8 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     A null text has no words and fails the base rules, as does an empty one. Null keys and repeated rows are
     kept as they are, an empty table gives no rows, other columns are not read.
     """
-    return judged(stored(measured(docs, text, lang, key), "quality"))
+    codes = worded_labels(docs, lang)
+    return judged(stored(measured(docs, codes, text, lang, key), "quality"), codes)
 
 
 def op4_quality(docs: DataFrame) -> DataFrame:
@@ -203,8 +208,8 @@ def op4_quality(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     """The same in SQL."""
-    common = ", ".join(f"('{code}', {i}, '{w}')" for code, words in ((c, COMMON_WORDS[c]) for c in _SQL_LANGUAGES) for i, w in enumerate(words))
-    slots = ", ".join(f"('{code}', {i})" for code, words in ((c, COMMON_WORDS[c]) for c in _SQL_LANGUAGES) for i in range(len(words) + 1))
+    common = ", ".join(f"('{code}', {i}, '{w}')" for code, words in COMMON_WORDS.items() for i, w in enumerate(words))
+    slots = ", ".join(f"('{code}', {i})" for code, words in COMMON_WORDS.items() for i in range(len(words) + 1))
     spaces = r"[\x20\x09-\x0D]+"
     classes = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g')) as n_{c}" for c, p in _CLASS_PATTERNS.items())
     chars = "[n_lower, n_upper, n_digit, length(t) - word_chars, n_mark, word_chars - n_lower - n_upper - n_digit - n_mark]"
@@ -231,13 +236,17 @@ wordhist as (select b.rid, b.lang, s.code, s.slot, case when h.n is not null the
     when s.slot = {len(COMMON_WORDS["en"])} then b.n_plain - coalesce(l.n, 0) else 0 end as n
   from base b cross join slots s left join hits h on h.rid = b.rid and h.code = s.code and h.slot = s.slot
   left join listed l on l.rid = b.rid and l.code = s.code),
-charref as (select c.code, h.slot, sum(h.n) as n from charhist h join (select distinct code from common) c on h.lang = c.code group by all),
+labelled as (select lang, count(*) as n from base where lang is not null group by lang),
+charref as (select h.lang as code, h.slot, sum(h.n) as n from charhist h where h.lang is not null group by all),
 wordref as (select code, slot, sum(n) as n from wordhist where lang = code group by all),
-usable as (select code from charref group by code having sum(n) > 0 intersect select code from wordref group by code having sum(n) > 0),
-charshare as (select code, slot, n / sum(n) over (partition by code) as q from charref where code in (from usable)),
+usable as (select code from wordref group by code having sum(n) > 0),
+charshare as (select c.code, slot, c.n / nullif(sum(c.n) over (partition by c.code), 0) as q, l.n * {COMMON_SHARE} >= (select sum(n) from labelled) as common
+  from charref c join labelled l on l.lang = c.code),
 wordshare as (select code, slot, n / sum(n) over (partition by code) as q from wordref where code in (from usable)),
-charterm as (select h.rid, r.code, r.q, h.n / nullif(sum(h.n) over (partition by h.rid, r.code), 0) as p from charhist h join charshare r using (slot)),
-wordterm as (select h.rid, r.code, r.q, h.n / nullif(sum(h.n) over (partition by h.rid, r.code), 0) as p from wordhist h join wordshare r using (code, slot)),
+charterm as (select h.rid, r.code, r.q, h.n / nullif(sum(h.n) over (partition by h.rid, r.code), 0) as p
+  from charhist h join charshare r on r.slot = h.slot and r.q is not null and (r.common or r.code = h.lang)),
+wordterm as (select h.rid, r.code, r.q, h.n / nullif(sum(h.n) over (partition by h.rid, r.code), 0) as p from wordhist h join wordshare r using (code, slot)
+  where h.lang is null or h.lang in (from usable)),
 chardist as (select rid, min(d) as d from (select rid, code, sqrt(greatest(sum({part.format('p', 'q')} + {part.format('q', 'p')}) / 2, 0)) as d
   from charterm where p is not null group by all) group by rid),
 worddist as (select rid, min(d) as d from (select rid, code, sqrt(greatest(sum({part.format('p', 'q')} + {part.format('q', 'p')}) / 2, 0)) as d
