@@ -53,24 +53,30 @@ def career_features(agg: DataFrame) -> DataFrame:
     )
 
 
-def weekly_shape(scored: DataFrame, value: str = "fp") -> DataFrame:
+def weekly_shape(scored: DataFrame, value: str = "fp", decimals: int | None = None) -> DataFrame:
     """Ceiling, floor, spike share and deviation of the weeks of each entity-season.
 
-    The collected weeks of one entity-season are bounded by the length of a season.
+    The collected weeks of one entity-season are bounded by the length of a season. With ``decimals`` the values are whole
+    multiples of that decimal place and are summed as such, so that the result does not depend on the order of the rows.
     """
     weeks = F.sort_array(F.col("__v"), asc=False)
+    unit = 1.0 if decimals is None else float(10**decimals)
+    x = F.col(value) if decimals is None else F.round(F.col(value) * unit).cast("long")
 
     def mean(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+        zero = F.lit(0.0) if decimals is None else F.lit(0).cast("long")
+        return F.aggregate(a, zero, lambda acc, v: acc + v).cast("double") / F.size(a) / unit
 
+    n, total = F.count(x), F.sum(x)
+    spread = F.stddev_pop(x) if decimals is None else F.sqrt((n * F.sum(x * x) - total * total).cast("double")) / n
     g = scored.groupBy("player_id", "season").agg(
-        F.collect_list(value).alias("__v"), F.avg(value).alias("__m"), F.stddev_pop(value).alias("__sd"),
-    )
-    spikes = F.size(F.filter("__v", lambda x: x >= 1.5 * F.col("__m"))) / F.size("__v")
+        F.collect_list(x).alias("__v"), total.alias("__t"), n.alias("__n"), F.avg(x).alias("__m"), (spread / unit).alias("__sd"))
+    high = (lambda v: v >= 1.5 * F.col("__m")) if decimals is None else (lambda v: v * F.col("__n") * 2 >= F.col("__t") * 3)
+    spikes = F.size(F.filter("__v", high)) / F.size("__v")
     bottom = F.slice(weeks, F.greatest(F.size(weeks) - 2, F.lit(1)), F.lit(3))
     return g.select(
         "player_id", "season", mean(F.slice(weeks, 1, 3)).alias("ceiling"), mean(bottom).alias("floor"),
-        F.when(F.col("__m") > 0, spikes).otherwise(0.0).alias("boom"), F.coalesce("__sd", F.lit(0.0)).alias("stdev"),
+        F.when(F.col("__t") > 0, spikes).otherwise(0.0).alias("boom"), F.coalesce("__sd", F.lit(0.0)).alias("stdev"),
     )
 
 

@@ -21,11 +21,14 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return checked.where(guard).select(*df.columns)
 
 
-def enrich(left: DataFrame, *tables: tuple[DataFrame, Sequence[str]], fill: Mapping | None = None) -> DataFrame:
-    """Left joins of feature tables that are unique on their keys."""
+def enrich(left: DataFrame, *tables: tuple[DataFrame, Sequence[str]], fill: Mapping | None = None, check: bool = False) -> DataFrame:
+    """Left joins of feature tables that are unique on their keys; ``check`` makes a repeated key an error.
+
+    Tables that an aggregation by the keys made are unique by construction and need no check, which costs an aggregation.
+    """
     out = left
     for right, keys in tables:
-        out = out.join(right, list(keys), "left")
+        out = out.join(assert_unique(right, keys) if check else right, list(keys), "left")
     return out.fillna(dict(fill)) if fill else out
 
 
@@ -136,19 +139,15 @@ def resolve_entities(live: DataFrame, roster: DataFrame, values: Sequence[str])
         "player_id", (F.col("__v.__how") == 0).alias("by_id"), *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
-def seasons_started(weekly: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Whether each wanted season has any regular row yet."""
+def seasons_started(weekly: DataFrame | None, wanted: DataFrame, calendar_season: Column | int | None = None) -> DataFrame:
+    """Whether each wanted season has any regular row yet; without data the calendar decides."""
+    if weekly is None:
+        calendar = calendar_season if isinstance(calendar_season, Column) else F.lit(calendar_season)
+        return wanted.select("season", F.coalesce(F.col("season") <= calendar, F.lit(False)).alias("started"))
     have = weekly.where(F.col("season_type") == "REG").select("season").distinct().withColumn("__have", F.lit(True))
     return wanted.join(have, "season", "left").select("season", F.coalesce("__have", F.lit(False)).alias("started"))
 
 
-def season_not_started(weekly: DataFrame | None, season: int, calendar_season: int) -> bool:
-    """True if the season has no regular rows; without data the calendar decides."""
-    if weekly is None:
-        return season > calendar_season
-    return weekly.where((F.col("season") == season) & (F.col("season_type") == "REG")).limit(1).isEmpty()
-
-
 def optional_table(spark: SparkSession, name: str, schema: StructType | str) -> DataFrame:
     """A catalog table or view, or an empty frame with the given schema if it is absent."""
     if spark.catalog.tableExists(name):

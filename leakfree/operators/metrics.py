@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import clip, correlation
 from ..session import stored
-from .ordered import group_quantiles, null_safe_join, rank_table, row_numbers
+from .ordered import group_quantiles, null_safe_join, row_numbers, stacked_ranks
 from .pools import tail_shares
 
 
@@ -23,10 +26,8 @@ def error_metrics(pred: DataFrame, actual: str = "fp", guess: str = "pred", grou
 def group_spearman(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
     """Rank correlation per group with mean ranks for ties; null where a side is constant."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    rows = stored(df.where(both).select(*group, F.col(a).alias("__a"), F.col(b).alias("__b")))
-    ra = rank_table(rows, group, "__a", "__ra", descending=False, method="average")
-    rb = rank_table(rows, group, "__b", "__rb", descending=False, method="average")
-    ranked = null_safe_join(null_safe_join(rows, ra, [*group, "__a"]), rb, [*group, "__b"])
+    rows = df.where(both).select(*group, F.col(a).alias("__a"), F.col(b).alias("__b"))
+    ranked = stacked_ranks(rows, {"__ra": (group, "__a"), "__rb": (group, "__b")}, descending=False, method="average")
     spread = [F.max(c) > F.min(c) for c in ("__a", "__b")]
     g = ranked.groupBy(*group).agg(
         F.count("*").alias("n"), correlation("__ra", "__rb").alias("__rho"), (spread[0] & spread[1]).alias("__ok"))
@@ -72,56 +73,120 @@ def apply_calibration(df: DataFrame, table: DataFrame, group: Sequence[str], val
     return df.join(stored(table), list(group), "left").withColumn(value, F.col(value) * pull).drop(ratio)
 
 
-Draw = Callable[[Column, Column, Column], Column]
+Draw = Callable[[int, int, int, int, int], Iterator[np.ndarray]]
+"""(resamples, stream, n, first, size) to how often each resample draws the rows first, first + 1, ... of n, a chunk of rows at a time.
+
+Rows come in parts of PART, of which ``first`` begins one. Each yield is a matrix of resamples by rows.
+"""
+PART = 65536
+_CHUNK = 512
 
 
 def hashed_draw(seed: int) -> Draw:
-    """Index of draw ``i`` in resample ``b`` by a well mixed hash."""
-    return lambda b, i, n: F.pmod(F.xxhash64(F.lit(seed), b, i), n)
+    """n independent draws of n rows a resample: multinomial counts, split binomially over the parts, then within each.
+
+    What a part holds depends on the seed, the group and its rows alone, not on how Spark deals them.
+    """
+    def counts(resamples: int, stream: int, n: int, first: int, size: int) -> Iterator[np.ndarray]:
+        sizes = np.diff(np.append(np.arange(0, n, PART), n))
+        part = first // PART
+        own = np.random.default_rng([seed, stream, 0]).multinomial(n, sizes / n, size=resamples)[:, part]
+        rng, left = np.random.default_rng([seed, stream, part + 1]), size
+        while left:
+            c = min(_CHUNK, left)
+            here = own if c == left else rng.binomial(own, c / left)
+            own, left = own - here, left - c
+            yield rng.multinomial(here, np.full(c, 1 / c))
+
+    return counts
 
 
 def arithmetic_draw(seed: int) -> Draw:
-    """Index by plain arithmetic, for checks on engines with other hashes."""
-    return lambda b, i, n: F.pmod(b * 7919 + i * 104729 + b * i * 31 + seed, n)
+    """Draw i of resample b is the row (7919 b + 104729 i + 31 b i + seed) mod n, for checks on engines with other generators.
+
+    How often that is row j has a closed form: the greatest common divisor of n and the factor of i where it divides the rest, else never.
+    """
+    def counts(resamples: int, stream: int, n: int, first: int, size: int) -> Iterator[np.ndarray]:
+        b = np.arange(resamples)[:, None]
+        common = np.gcd(104729 + 31 * b, n)
+        for at in range(first, first + size, _CHUNK):
+            j = np.arange(at, min(at + _CHUNK, first + size))[None, :]
+            yield np.where((j - b * 7919 - seed) % common == 0, common, 0)
+
+    return counts
 
 
 def bootstrap_mean(values: DataFrame, value: str, order: Sequence[str], group: Sequence[str] = (), resamples: int = 2000,
-                   confidence: float = 0.95, draw: Draw | None = None) -> DataFrame:
-    """Mean with a percentile bootstrap interval per group.
+                   confidence: float = 0.95, draw: Draw | None = None, shared: bool = False) -> DataFrame:
+    """Mean with a percentile bootstrap interval per group; null values are left out.
 
-    Every row is one draw position; it is exploded over the resamples, pointed at the row it draws,
-    and the picks are counted per (resample, row) before the values are joined. The estimates per
-    resample are sums, so nothing larger than one mean per resample ever meets in a group.
+    Rows are numbered in their group and parted into runs of PART. A task counts how often each resample draws each of its rows
+    and sums the values by resample, so that what is shuffled is one sum a resample and part, never rows times
+    resamples. With ``shared`` the groups are resampled together: row i of one is drawn as often as row i of another.
     """
     draw = draw or hashed_draw(0)
-    numbered = row_numbers(values, group, [F.col(o).asc() for o in order], "__rn").select(
-        *group, (F.col("__rn") - 1).cast("bigint").alias("__i"), F.col(value).alias("__v"))
-    sizes = numbered.groupBy(*group).agg(F.count("*").alias("n"), F.avg("__v").alias("estimate"))
-    sized = numbered.join(sizes, list(group)) if group else numbered.withColumn("n", sizes.select("n").scalar())
-    b = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint")))
-    picks = sized.select(*group, "__i", "n", b.alias("__b")).select(
-        *group, "__b", draw(F.col("__b"), F.col("__i"), F.col("n")).alias("__i"))
-    counted = picks.groupBy(*group, "__b", "__i").agg(F.count("*").alias("__c"))
-    means = counted.join(numbered, [*group, "__i"]).groupBy(*group, "__b").agg(
-        (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("__mean"))
+    known = values.where(F.col(value).isNotNull())
+    numbered = stored(row_numbers(known, group, [F.col(o).asc() for o in order], "__rn").select(
+        *group, (F.col("__rn") - 1).cast("bigint").alias("__i"), F.col(value).cast("double").alias("__v")))
+    sizes = stored(numbered.groupBy(*group).agg(F.count("*").alias("n"), F.avg("__v").alias("estimate")))
+    sized = null_safe_join(numbered, sizes.select(*group, "n"), group) if group else numbered.withColumn("n", sizes.select("n").scalar())
+    stream = F.pmod(F.xxhash64(*group), F.lit(1 << 62)) if group and not shared else F.lit(0).cast("bigint")
+    parts = sized.select(*group, F.floor(F.col("__i") / PART).alias("__part"), "__i", "__v", "n", stream.alias("__stream"))
+    keys = [*group, "__part"]
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("__i")
+        v, first = rows.column("__v").to_numpy(), rows.column("__i")[0].as_py()
+        sums, at = np.zeros(resamples), 0
+        drawn = np.zeros(resamples, np.int64)
+        for counts in draw(resamples, rows.column("__stream")[0].as_py(), rows.column("n")[0].as_py(), first, len(v)):
+            sums += counts @ v[at:at + counts.shape[1]]
+            drawn += counts.sum(axis=1)
+            at += counts.shape[1]
+        own = {g: pa.array([k.as_py()] * resamples, k.type) for g, k in zip(group, key, strict=False)}
+        return pa.table(own | {"__b": pa.array(np.arange(resamples, dtype=np.int32)), "__s": pa.array(sums), "__c": pa.array(drawn)})
+
+    schema = T.StructType([*(parts.schema[g] for g in group), T.StructField("__b", T.IntegerType()),
+                           T.StructField("__s", T.DoubleType()), T.StructField("__c", T.LongType())])
+    sums = parts.groupBy(*keys).applyInArrow(run, schema)
+    means = sums.groupBy(*group, "__b").agg((F.sum("__s") / F.sum("__c")).alias("__mean"))
     tail = (1 - confidence) / 2
     ci = group_quantiles(means, group, "__mean", [tail, 1 - tail], ["low", "high"])
     if group:
-        return sizes.join(ci, list(group)).select(*group, "n", "estimate", "low", "high")
+        return null_safe_join(sizes, ci, group).select(*group, "n", "estimate", "low", "high")
     both = ci.agg(F.struct(F.max("low").alias("low"), F.max("high").alias("high")).alias("c")).scalar()
     return sizes.withColumn("__c", both).select("n", "estimate", F.col("__c.low").alias("low"), F.col("__c.high").alias("high"))
 
 
 def cluster_bootstrap_mean(values: DataFrame, value: str, cluster: Sequence[str], group: Sequence[str] = (), **options) -> DataFrame:
     """Bootstrap over whole clusters, each counting once through its mean."""
-    means = values.groupBy(*group, *cluster).agg(F.avg(value).alias("__cm"), F.count("*").alias("__n"))
+    means = stored(values.groupBy(*group, *cluster).agg(F.avg(value).alias("__cm"), F.count("*").alias("__n")))
     ci = bootstrap_mean(means, "__cm", cluster, group, **options).withColumnRenamed("n", "n_clusters")
     total = means.groupBy(*group).agg(F.sum("__n").alias("n"))
     if group:
-        return ci.join(total, list(group))
+        return null_safe_join(ci, total, group)
     return ci.withColumn("n", total.scalar())
 
 
+def sweep_intervals(runs: DataFrame, variant: str = "fraction", season: str = "season", slot: str = "slot", base: float = 0.0,
+                    playoff_place: int = 6, **options) -> DataFrame:
+    """(variant, metric, estimate, low, high, n_clusters, n): intervals of finish, playoff and title rate, and of their differences to ``base``.
+
+    Seasons are resampled whole, the same ones for all variants and metrics. Differences are taken slot by slot, where both
+    variants filled the slot.
+    """
+    place = F.col("place").cast("double")
+    metrics = F.array(
+        F.struct(F.lit("mean_finish").alias("metric"), place.alias("value")),
+        F.struct(F.lit("playoff_rate").alias("metric"), (F.col("place") <= playoff_place).cast("double").alias("value")),
+        F.struct(F.lit("title_rate").alias("metric"), F.col("won").cast("double").alias("value")))
+    long_ = stored(runs.select(variant, season, slot, F.inline(metrics)))
+    naive = long_.where(F.col(variant) == base).select(season, slot, "metric", F.col("value").alias("__base"))
+    paired = long_.where(F.col(variant) != base).join(naive, [season, slot, "metric"]).select(
+        variant, season, slot, F.concat("metric", F.lit("_delta")).alias("metric"), (F.col("value") - F.col("__base")).alias("value"))
+    return cluster_bootstrap_mean(long_.unionByName(paired), "value", [season], [variant, "metric"], shared=True, **options)
+
+
 def position_counts(roster: DataFrame, team: Sequence[str], positions: Sequence[str]) -> DataFrame:
     """Roster size per team and position, one column per position."""
     return roster.groupBy(*team).pivot("position", list(positions)).agg(F.count(F.lit(1))).fillna(0, list(positions))
@@ -167,12 +232,12 @@ def sweep_summary(runs: DataFrame, variant: str = "fraction", season: str = "sea
     ).where(F.col("__g") == 0).drop("__g")
 
 
-def lift(runs: DataFrame, label: str, ours: str, base: str, group: Sequence[str] = ()) -> DataFrame:
+def lift(runs: DataFrame, label: str, ours: str, base: str, group: Sequence[str] = (), playoff_place: int = 6) -> DataFrame:
     """Rates of two labels side by side and their differences."""
     def rate(name: str, c: Column) -> Column:
         return F.avg(F.when(F.col(label) == name, c.cast("double")))
 
-    playoff = F.col("place") <= 6
+    playoff = F.col("place") <= playoff_place
     t = runs.groupBy(*group).agg(
         rate(ours, F.col("won")).alias("title_rate"), rate(base, F.col("won")).alias("base_title_rate"),
         rate(ours, playoff).alias("playoff_rate"), rate(base, playoff).alias("base_playoff_rate"),

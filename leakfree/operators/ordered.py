@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import once, stored
 
 _PART = "__part"
 
@@ -96,6 +96,37 @@ def competition_rank(
     return null_safe_join(df, table, [*group, value], "left")
 
 
+def stacked_ranks(
+    df: DataFrame, measures: Mapping[str, tuple[Sequence[str], str]], descending: bool = True, method: str = "min",
+) -> DataFrame:
+    """Every row with several ranks: ``measures`` maps each rank's column to its group and value.
+
+    All measures are ranked in one pass over one range-partitioned table of (measure, group, value) rows; rows
+    without a value are unranked. Values are compared as doubles, ties share the smallest (``min``) or mean (``average``) rank.
+    """
+    if method not in ("min", "average"):
+        raise ValueError(f"unknown rank method {method!r}")
+    df = once(df)
+
+    def parts(group: Sequence[str], value: str) -> tuple[Column, Column]:
+        x = F.col(value).cast("double")
+        return F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit(""), -x if descending else x
+
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__of"), g.alias("__g"), x.alias("__x"))
+        for i, (g, x) in enumerate(parts(*m) for m in measures.values())]))).where(F.col("__x").isNotNull())
+    counts = stacked.groupBy("__of", "__g", "__x").agg(F.count("*").alias("cnt"))
+    placed = ordered_prefix(counts, ["__of", "__g"], [F.col("__x")], {"before": F.col("cnt")})
+    rank = (F.col("before") + 1).cast("int") if method == "min" else F.col("before") + (F.col("cnt") + 1) / 2.0
+    table = stored(placed.select("__of", "__g", "__x", rank.alias("__rank")), "ranks")
+    out = df
+    for i, (name, m) in enumerate(measures.items()):
+        g, x = parts(*m)
+        own = table.where(F.col("__of") == i).select("__g", "__x", F.col("__rank").alias(name))
+        out = out.withColumns({"__g": g, "__x": x}).join(own, ["__g", "__x"], "left").drop("__g", "__x")
+    return out
+
+
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """Exact row numbers from 1 under a total order, without one task per group."""
     return ordered_prefix(df, group, order, {"__before": F.lit(1)}).withColumn(

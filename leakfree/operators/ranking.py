@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import flag, round_even
 from ..functions.names import word_key
-from ..session import stored
+from ..session import once, stored
 from .ordered import competition_rank, group_quantiles, row_numbers, top_per_group, top_values
 
 POSITIONS = ("QB", "RB", "WR", "TE")
@@ -64,7 +64,7 @@ def score_board(proj: DataFrame, league: Mapping = DEFAULT_LEAGUE, value: str =
     best rows per position are needed for it, so no position is ever sorted whole; the replacement
     values, one per position of the league, come back as a single map instead of a join on position.
     """
-    ranks = replacement_ranks(league)
+    proj, ranks = once(proj, "board"), replacement_ranks(league)
     deepest = max(ranks.values()) + 1
     best = top_per_group(
         proj.where(F.col(value).isNotNull()), ["position"], [F.col(value).desc(), F.col(ident).asc()], deepest, "__rn")
@@ -88,7 +88,7 @@ def upside_flags(board: DataFrame, shape: DataFrame) -> DataFrame:
     The flags only depend on the first ranks of a position, so ranks are looked up in tables of the
     best distinct values; a value beyond them has a rank beyond every threshold.
     """
-    base = board.join(shape.select("player_id", "u_ceiling", "u_floor"), "player_id", "left")
+    base = once(board.join(shape.select("player_id", "u_ceiling", "u_floor"), "player_id", "left"), "shaped")
     b = base
     far = SLEEPER_CEILING_RANK + SLEEPER_GAP
     for c, k, out in (("u_ceiling", SLEEPER_CEILING_RANK, "__ceil"), ("u_floor", ANCHOR_FLOOR_RANK, "__floor"),
@@ -113,18 +113,26 @@ def upside_bonus(board: DataFrame, ceiling: str, weight: float) -> DataFrame:
 
 def consensus_delta(board: DataFrame, adp: DataFrame) -> DataFrame:
     """Own overall rank, the market's rank by loose name, and the difference."""
-    ranked = competition_rank(board, [], "vor", "our_rank")
+    return market_delta(competition_rank(once(board), [], "vor", "our_rank"), adp)
+
+
+def market_delta(ranked: DataFrame, adp: DataFrame) -> DataFrame:
+    """The market's rank by loose name beside ``our_rank``, and the difference."""
     best = adp.select(word_key("player").alias("__k"), F.col("adp").try_cast("double").alias("adp")).where(
         F.col("adp").isNotNull()).groupBy("__k").agg(F.min("adp").alias("adp"))
     return ranked.withColumn("__k", word_key("player")).join(best, "__k", "left").drop("__k").withColumn(
         "adp_delta", F.rint(F.col("adp") - F.col("our_rank")))
 
 
+def schedule_ahead(board: DataFrame, team: DataFrame, ahead: DataFrame) -> DataFrame:
+    """Difficulty of the road ahead of every row's team and position."""
+    return board.drop("team").join(team, "player_id", "left").join(ahead, ["team", "position"], "left").withColumn(
+        "sched_ahead", round_even("sched_ahead", 3)).drop("team")
+
+
 def schedule_rank(board: DataFrame, team: DataFrame, ahead: DataFrame) -> DataFrame:
     """Difficulty of the road ahead and its rank within the position (1 = easiest)."""
-    b = board.drop("team").join(team, "player_id", "left").join(ahead, ["team", "position"], "left").withColumn(
-        "sched_ahead", round_even("sched_ahead", 3))
-    return competition_rank(b, ["position"], "sched_ahead", "sched_rank").drop("team")
+    return competition_rank(once(schedule_ahead(board, team, ahead)), ["position"], "sched_ahead", "sched_rank")
 
 
 def room_leader(room: DataFrame, keys: Sequence[str] = ("team", "position")) -> DataFrame:

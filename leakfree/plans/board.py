@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import word_key
 from ..operators.joins import first_by
+from ..operators.ordered import stacked_ranks
 from ..operators.ranking import (
-    DEFAULT_LEAGUE, consensus_delta, open_competition, schedule_rank, score_board, sort_match, upside_bonus, upside_flags,
+    DEFAULT_LEAGUE, market_delta, open_competition, schedule_ahead, score_board, sort_match, upside_bonus, upside_flags,
 )
 from ..operators.reports import status_penalty
 from ..session import stored
@@ -50,7 +51,7 @@ def draft_board(veterans: DataFrame, entrants: DataFrame | None = None, league:
         proj = reconcile_rooms(proj, team, chart, adp)
     if upside_weight and shape is not None:
         proj = upside_bonus(proj.join(shape.select("player_id", "u_ceiling"), "player_id", "left"), "u_ceiling", upside_weight).drop("u_ceiling")
-    return stored(score_board(stored(proj), league))
+    return stored(score_board(proj, league), "board")
 
 
 def with_context(board: DataFrame, league: Mapping, avail: DataFrame, shape: DataFrame, team: DataFrame, ahead: DataFrame,
@@ -62,12 +63,13 @@ def with_context(board: DataFrame, league: Mapping, avail: DataFrame, shape: Dat
     """
     known = board.select("player_id", "player", "position", "proj").join(
         avail.select("player_id", "status", "live_code"), "player_id", "left")
-    b = stored(score_board(stored(status_penalty(known).drop("status", "live_code")), league))
-    b = stored(upside_flags(b, shape))
-    b = schedule_rank(b, team, ahead)
-    b = open_competition(b, shares)
-    b = b.join(highs, "player_id", "left").withColumn("career_year", F.coalesce("career_year", F.lit(False)))
-    return consensus_delta(b, adp)
+    b = score_board(status_penalty(known).drop("status", "live_code"), league)
+    # all that is only joined comes first, so that the flags and both ranks read one table
+    wide = open_competition(schedule_ahead(b, team, ahead), shares).join(highs, "player_id", "left").withColumn(
+        "career_year", F.coalesce("career_year", F.lit(False)))
+    flagged = stored(upside_flags(wide, shape), "board")
+    ranked = stacked_ranks(flagged, {"sched_rank": (["position"], "sched_ahead"), "our_rank": ([], "vor")})
+    return market_delta(ranked, adp)
 
 
 def flag_unrostered(board: DataFrame, roster_names: DataFrame) -> DataFrame:

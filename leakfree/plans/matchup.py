@@ -1,6 +1,7 @@
 """Win probability of many matchups at once, from residual pools.
 
-Draws are one long table (player, draw) and everything after them is joins and sums. Python appears
+Independent pools need no draws: probabilities come from characteristic functions. Draws of correlated outcomes
+are one long table (player, draw) and everything after them is joins and sums. Python appears
 only where correlated normals need a Cholesky factor, on the few players of one matchup.
 """
 
@@ -19,6 +20,7 @@ from ..operators.correlation import PASS_CATCHERS, RHO
 from ..operators.pools import bin_edges, inverse_cdf, ranked_pool, with_bins
 from ..session import stored
 
+HALVINGS = 45
 CELL = ["position", "bin"]
 ALL = "*"
 
@@ -118,6 +120,77 @@ def correlated_uniforms(players: DataFrame, draws: int, block: int = 500, seed:
     return rows.groupBy("matchup_id", "block").applyInPandas(one, schema)
 
 
+def cell_functions(pools: DataFrame, span: float, frequencies: int) -> DataFrame:
+    """(cell, cf, mean, variance): each pool's characteristic function at the odd multiples of pi / span, as log modulus and angle.
+
+    Equal residuals are counted first, and the sums over them are formed before anything is shuffled.
+    """
+    values = pools.groupBy(*CELL, "residual").agg(F.count("*").alias("__c"))
+    k, r, c = F.explode(F.sequence(F.lit(0), F.lit(frequencies - 1))).alias("k"), F.col("residual"), F.col("__c")
+    t = _frequency(span) * r
+    sums = values.select(*CELL, "residual", "__c", k).groupBy(*CELL, "k").agg(
+        F.sum(c * F.cos(t)).alias("__re"), F.sum(c * F.sin(t)).alias("__im"), F.sum(c).alias("__n"), F.sum(c * r).alias("__s"), F.sum(c * r * r).alias("__q"))
+    modulus = F.ln(F.greatest(F.hypot("__re", "__im") / F.col("__n"), F.lit(1e-300)))
+    mean = F.col("__s") / F.col("__n")
+    step = F.struct("k", modulus.alias("lm"), F.atan2("__im", "__re").alias("an"))
+    return sums.groupBy(*CELL).agg(
+        F.sort_array(F.collect_list(step)).alias("cf"), F.max(mean).alias("mean"), F.max(F.col("__q") / F.col("__n") - mean * mean).alias("variance"))
+
+
+def _frequency(span: float, k: Column | None = None) -> Column:
+    return ((F.col("k") if k is None else k) * 2 + 1) * F.lit(math.pi / span)
+
+
+def exact_win_statistics(players: DataFrame, edges: DataFrame, pools: DataFrame, span: float, frequencies: int = 1024) -> DataFrame:
+    """:func:`win_statistics` of independent pools without a draw.
+
+    A side's total is a sum of independent outcomes, so its characteristic function is the product of theirs and that of the
+    margin the product of both sides'. Gil-Pelaez inversion on odd multiples of pi / span then gives the probability that the margin is
+    above zero, with half of that it is zero, and the distribution of a total, of which the quantiles are found by bisection. ``span``
+    must exceed twice the largest possible margin; pi * frequencies / span times a side's deviation should be 8 or more, beyond which the rest of the
+    series is below 1e-14. Only the rows of players are shuffled, by matchup.
+    """
+    cells = stored(cell_functions(pools, span, frequencies))
+    placed = place_in_pools(players, edges, pools).join(
+        cells.withColumnsRenamed({"position": "__cell_position", "bin": "__cell_bin"}), ["__cell_position", "__cell_bin"])
+    own = placed.select("matchup_id", "side", "pred", "cf", "mean", "variance").repartition("matchup_id")
+    waves = own.select("matchup_id", "side", "pred", F.inline("cf")).groupBy("matchup_id", "side", "k").agg(
+        F.sum("lm").alias("lm"), F.sum(_frequency(span) * F.col("pred") + F.col("an")).alias("an"))
+    shapes = waves.groupBy("matchup_id", "side").agg(F.sort_array(F.collect_list(F.struct("k", "lm", "an"))).alias("cf"))
+    moments = own.groupBy("matchup_id", "side").agg(F.sum(F.col("pred") + F.col("mean")).alias("mean"), F.sum("variance").alias("variance"))
+    sides = shapes.join(moments, ["matchup_id", "side"])
+
+    def total(cf: Column, term) -> Column:
+        return F.aggregate(cf, F.lit(0.0), lambda a, x: a + term(x) / (x["k"] * 2 + 1)) * F.lit(2 / math.pi)
+
+    def quantile(p: float) -> Column:
+        def halve(at: Column, _: Column) -> Column:
+            mid = (at["lo"] + at["hi"]) / 2
+            below = 0.5 - total(F.col("cf"), lambda x: F.exp(x["lm"]) * F.sin(x["an"] - _frequency(span, x["k"]) * mid)) < p
+            return F.struct(F.when(below, mid).otherwise(at["lo"]).alias("lo"), F.when(below, at["hi"]).otherwise(mid).alias("hi"))
+
+        start = F.struct((F.col("mean") - span / 2).alias("lo"), (F.col("mean") + span / 2).alias("hi"))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)
+        return (found["lo"] + found["hi"]) / 2
+
+    known = sides.withColumns({"p10": quantile(0.1), "p90": quantile(0.9)})
+    side = {s: F.max(F.when(F.col("side") == s, F.struct("cf", "mean", "variance", "p10", "p90"))).alias(s) for s in "ab"}
+    both = known.groupBy("matchup_id").agg(*side.values())
+    waves_of = {s: F.coalesce(F.col(f"{s}.cf"), F.array().cast(known.schema["cf"].dataType)) for s in "ab"}
+    pairs = F.zip_with(waves_of["a"], waves_of["b"], lambda x, y: F.struct(
+        F.coalesce(x["k"], y["k"]).alias("k"), (F.coalesce(x["lm"], F.lit(0.0)) + F.coalesce(y["lm"], F.lit(0.0))).alias("lm"),
+        (F.coalesce(x["an"], F.lit(0.0)) - F.coalesce(y["an"], F.lit(0.0))).alias("an")))
+
+    def of(s: str, name: str) -> Column:
+        return F.coalesce(F.col(f"{s}.{name}"), F.lit(0.0))
+
+    win = 0.5 + total(pairs, lambda x: F.exp(x["lm"]) * F.sin(x["an"]))
+    return both.select(
+        "matchup_id", round_even(win, 4).alias("win_prob_a"), of("a", "mean").alias("sim_mean_a"), of("b", "mean").alias("sim_mean_b"),
+        *[of(s, q).alias(f"{s}_{q}") for s in "ab" for q in ("p10", "p90")], (of("a", "mean") - of("b", "mean")).alias("margin_mean"),
+        F.sqrt(of("a", "variance") + of("b", "variance")).alias("margin_std"))
+
+
 def correlated_draws(players: DataFrame, edges: DataFrame, pools: DataFrame, draws: int, **options) -> DataFrame:
     """Outcome per matchup, player and draw through the interpolated inverse of each player's pool."""
     placed = place_in_pools(players, edges, pools).withColumns({

@@ -72,10 +72,14 @@ def rookie_projection(picks: DataFrame, agg: DataFrame, target_season: int) -> D
         "player_id", "player", "position", "team", "pick", round_even(F.col("proj") * F.coalesce("ratio", F.lit(1.0)), 1).alias("proj"))
 
 
-def backtest_rookies(projection: DataFrame, agg: DataFrame, target_season: int) -> DataFrame:
-    """Rank correlation and mean error of an entrant projection; null metrics for fewer than three."""
-    actual = agg.where(F.col("season") == target_season).select("player_id", "fp", "season")
-    m = projection.join(actual, "player_id")
+def backtest_rookies(projection: DataFrame, agg: DataFrame, target_season: int | None = None) -> DataFrame:
+    """Rank correlation and mean error of entrant projections; null metrics for fewer than three.
+
+    ``projection`` is of one season, or has a column ``season`` of its own, and every season is measured.
+    """
+    keys = ["player_id", "season"]
+    mine = projection if target_season is None else projection.withColumn("season", F.lit(target_season))
+    m = mine.join(agg.select(*keys, "fp"), keys)
     rho = group_spearman(m, ["season"], "proj", "fp").select("season", "spearman")
     e = error_metrics(m, "fp", "proj", ["season"])
     few = F.col("n") < 3

@@ -145,15 +145,18 @@ def a11(spark, d):
 
 
 cte("shape", """
-select player_id, season, avg(case when hi <= 3 then fp end) as ceiling, avg(case when lo <= 3 then fp end) as floor,
-  case when any_value(m) > 0 then avg(case when fp >= 1.5 * m then 1.0 else 0.0 end) else 0.0 end as boom, stddev_pop(fp) as stdev from (
-  select *, row_number() over (partition by player_id, season order by fp desc, week) as hi, row_number() over (partition by player_id, season order by fp, week) as lo,
-    avg(fp) over (partition by player_id, season) as m from skill) group by player_id, season""", ("skill",))
+select player_id, season, sum(case when hi <= 3 then c end)::double / count(case when hi <= 3 then c end) / 100.0::double as ceiling,
+  sum(case when lo <= 3 then c end)::double / count(case when lo <= 3 then c end) / 100.0::double as floor,
+  case when sum(c) > 0 then count(case when 2 * c * n >= 3 * t then 1 end)::double / count(*) else 0.0 end as boom,
+  sqrt((count(*) * sum(c * c) - sum(c) * sum(c))::double) / count(*) / 100.0::double as stdev from (
+  select *, row_number() over (partition by player_id, season order by c desc, week) as hi, row_number() over (partition by player_id, season order by c, week) as lo,
+    count(*) over (partition by player_id, season) as n, sum(c) over (partition by player_id, season) as t
+  from (select *, cast(round(fp * 100) as bigint) as c from skill)) group by player_id, season""", ("skill",))
 
 
 @query("a12_weekly_shape", sql(f"select player_id, season, {q6('ceiling')} as ceiling, {q6('floor')} as floor, {q6('boom')} as boom, {q6('stdev')} as stdev from shape", "shape"))
 def a12(spark, d):
-    s = K.weekly_shape(skilled(spark, d))
+    s = K.weekly_shape(skilled(spark, d), decimals=2)
     return s.select("player_id", "season", *[r6(c).alias(c) for c in ("ceiling", "floor", "boom", "stdev")])
 
 
@@ -337,6 +340,24 @@ def a27(spark, d):
     return s.withColumns({c: r6(c) for c in ("mean_finish", "playoff_rate", "title_rate")})
 
 
+cte("sweep", """
+select fraction, season, slot, unnest(['mean_finish', 'playoff_rate', 'title_rate']) as metric, unnest([place::double, (place <= 6)::int::double, won::int::double]) as value from runs""", ("runs",))
+cte("sweep_all", """
+select * from sweep union all select a.fraction, a.season, a.slot, a.metric || '_delta', a.value - b.value from sweep a join sweep b using (season, slot, metric) where a.fraction <> 0 and b.fraction = 0""", ("sweep",))
+
+
+@query("a27_sweep_intervals", sql(f"""
+select fraction, metric, any_value(n) as n, any_value(c) as n_clusters, {q6('any_value(e)')} as estimate, {q6('quantile_cont(m, 0.025)')} as low, {q6('quantile_cont(m, 0.975)')} as high from (
+  with v as (select fraction, metric, season, avg(value) as x, count(*) as rows, row_number() over (partition by fraction, metric order by season) - 1 as i, count(*) over (partition by fraction, metric) as n
+    from sweep_all group by fraction, metric, season),
+  drawn as (select fraction, metric, n, b, (b * 7919 + i * 104729 + b * i * 31 + 11) % n as i from v, range(2000) as r(b)),
+  means as (select d.fraction, d.metric, d.b, avg(v.x) as m from drawn d join v using (fraction, metric, i) group by all)
+  select means.*, t.n, t.c, t.e from means join (select fraction, metric, cast(sum(rows) as bigint) as n, count(*) as c, avg(x) as e from v group by all) t using (fraction, metric)) group by fraction, metric""", "sweep_all"))
+def a27b(spark, d):
+    s = M.sweep_intervals(runs(spark, d), draw=M.arithmetic_draw(11))
+    return s.select("fraction", "metric", "n", "n_clusters", *[r6(c).alias(c) for c in ("estimate", "low", "high")])
+
+
 @query("a28_lift", sql(f"""
 select season, {q6('o.t')} as title_rate, {q6('b.t')} as base_title_rate, {q6('o.p')} as playoff_rate, {q6('b.p')} as base_playoff_rate, {q6('o.f')} as mean_finish, {q6('b.f')} as base_mean_finish,
   {q6('o.t - b.t')} as title_lift, {q6('o.p - b.p')} as playoff_lift from (select season, avg(won::int) as t, avg((place <= 6)::int) as p, avg(place) as f from runs where fraction = 0.75 group by 1) o
@@ -349,11 +370,13 @@ def a28(spark, d):
 
 cte("event_games", "select cast(year(ts) as int) as season, cast(dayofmonth(ts) as int) as week, cast(user_id % 25 as int) as home_team, cast((user_id + 11) % 25 as int) as away_team, case when dayofmonth(ts) <= 20 + (user_id % 25) % 11 then value end as home_score from events")
 cte("finish", "select season, team, max(week) as finish from (select season, home_team as team, week from event_games where home_score is not null union all select season, away_team, week from event_games where home_score is not null) group by all", ("event_games",))
-cte("injuries", """
+cte("report_finish", "select season, team, max(week) as finish from reports group by all", ("reports",))
+INJURIES = """
 select h.player_id, h.season, h.weeks_out, h.last_injury, h.last_week, h.last_round, coalesce(h.last_week >= coalesce(f.finish, (select max(finish) from finish f2 where f2.season = h.season)) - 1 and coalesce(h.last_injury <> 'Illness', true), false) as ended_hurt from (
   select player_id, season, count(distinct week) as weeks_out, arg_max(row(team, report_primary_injury, week, game_type), k) as l, l[2] as last_injury, l[3] as last_week, l[4] as last_round, l[1] as team from (
     select *, row_number() over (partition by player_id, season order by week, report_primary_injury nulls first, game_type, team) as k from reports
-    where report_status in ('Out', 'Doubtful') and lower(coalesce(report_primary_injury, '')) not like '%not injury related%') group by player_id, season) h left join finish f on f.season = h.season and f.team = h.team""", ("reports", "finish"))
+    where report_status in ('Out', 'Doubtful') and lower(coalesce(report_primary_injury, '')) not like '%not injury related%') group by player_id, season) h left join finish f on f.season = h.season and f.team = h.team"""
+cte("injuries", INJURIES, ("reports", "finish"))
 
 
 def event_games(spark, d):
@@ -372,6 +395,12 @@ def a29(spark, d):
     return injuries(spark, d)
 
 
+@query("a29_report_finish", sql(INJURIES.replace("finish f", "report_finish f"), "reports", "report_finish"))
+def a29c(spark, d):
+    reports = A.reports(spark, d)
+    return X.injury_seasons(reports, X.report_finish(reports))
+
+
 cte("statuses", "select player_id, season, week, case cast(receptions + player_id as int) % 6 when 0 then 'RES' when 1 then 'PUP' when 2 then 'CUT' else 'ACT' end as status from weekly", ("weekly",))
 cte("status_now", "select player_id, case status when 'RES' then 'on injured reserve' when 'PUP' then 'on PUP' else 'released' end as status from (select *, row_number() over (partition by player_id order by week desc, status) as rn from statuses where season = 2000) where rn = 1 and status <> 'ACT'", ("statuses",))
 cte("live_s", "select s_suppkey + 10 as player_id, case s_suppkey % 3 when 0 then 'IR' when 1 then 'Questionable' else 'Sus' end as live_code, 'body' || cast(s_suppkey as varchar) as live_body from supplier where s_suppkey % 4 = 1")
@@ -419,15 +448,15 @@ select r.player_id, r.team, t.team as prior_team, coalesce(t.team <> r.team, fal
 from proom r join top using (team, position) left join vac using (team, position) left join (select player_id, team from teams where season = 1999) t on t.player_id = r.player_id
 left join dep on dep.player_id = r.player_id left join pass_rates pr on pr.season = 1999 and pr.team = r.team
 left join coaches c1 on c1.season = 2000 and c1.team = r.team left join coaches c0 on c0.season = 1999 and c0.team = r.team
-left join avail a on a.player_id = r.player_id left join line_ctx l on l.team = r.team""",
-    "proom", "rollup", "teams", "depth", "pass_rates", "coaches", "avail", "line_ctx").replace(")\n, top", "),\ntop"))
+left join avail a on a.player_id = r.player_id left join nation_line_ctx l on l.team = r.team""",
+    "proom", "rollup", "teams", "depth", "pass_rates", "coaches", "avail", "nation_line_ctx").replace(")\n, top", "),\ntop"))
 def a30(spark, d):
     s, w = skilled(spark, d), A.weekly(spark, d)
     agg = U.season_rollup(s).withColumn("player", A.letter_name(F.col("player")))
     k = F.col("s_suppkey")
     market = A.table(spark, d, "supplier").where(k % 3 != 0).select(A.letter_name(F.col("s_name")).alias("player"), (1 + (k * 37) % 90).cast("string").alias("adp"))
     depth = J.best_match(depth_chart(spark, d).where(F.col("season") == 2000), "player_id", "depth_team").withColumnRenamed("depth_team", "depth_rank")
-    chart, line_avail, names = line_tables(spark, d)
+    chart, line_avail, names = line_tables(spark, d, nations=True)
     line = X.line_context(X.line_starters(chart), line_avail, names)
     return X.player_context(agg, teams(spark, d), market, depth, w, A.games(spark, d), avail(spark, d), line, 2000)
 

@@ -8,6 +8,7 @@ from ..functions import names as N
 from ..operators import context as X
 from ..operators import correlation as C
 from ..operators import joins as J
+from ..operators import ordered as O
 from ..operators import pools as P
 from ..operators import reshape as G
 from ..operators import rollups as U
@@ -308,22 +309,35 @@ def j18(spark, d):
     return J.strict_pairs(variant(0.5), variant(0.25), keys, ["place"])
 
 
-cte("line_chart", """
-select cast(s_nationkey as int) as team, s_suppkey as player_id, '1' as depth_team, case s_suppkey % 5 when 0 then 'LT' when 1 then 'LG' when 2 then 'C' when 3 then 'RG' else 'QB' end as depth_position
-from supplier qualify row_number() over (partition by s_nationkey order by s_suppkey) <= 10""")
+LINE_POSITION = "case s_suppkey % 5 when 0 then 'LT' when 1 then 'LG' when 2 then 'C' when 3 then 'RG' else 'QB' end"
+cte("line_chart", f"""
+select s_nationkey::bigint + 25 * (s_suppkey::bigint // 250) as team, s_suppkey as player_id, '1' as depth_team, {LINE_POSITION} as depth_position from supplier""")
+cte("nation_chart", f"""
+select *, row_number() over (partition by team, depth_position order by player_id)::varchar as depth_team from (
+  select s_nationkey::int as team, s_suppkey as player_id, {LINE_POSITION} as depth_position from supplier)""")
 cte("line_avail", """
 select s_suppkey as player_id, s_suppkey % 3 = 0 as ended_hurt, case when s_suppkey % 4 = 0 then 'on PUP' end as status, case s_suppkey % 7 when 0 then 'IR' when 1 then 'Questionable' end as live_code from supplier""")
-cte("line_ctx", """
-select team, count(*) as ol_out, string_agg(s_name, ', ' order by s_name) as ol_names from line_chart c join line_avail a using (player_id) join supplier on s_suppkey = player_id
-where depth_position in ('LT', 'LG', 'C', 'RG', 'RT') and (ended_hurt or status is not null or coalesce(live_code in ('Sus', 'DNR', 'IR', 'PUP', 'NA', 'Out'), false)) group by 1 having count(*) >= 2""", ("line_chart", "line_avail"))
+LINE_CTX = """
+select team, count(*) as ol_out, string_agg(s_name, ', ' order by s_name) as ol_names from {0} c join line_avail a using (player_id) join supplier on s_suppkey = player_id
+where depth_team = '1' and depth_position in ('LT', 'LG', 'C', 'RG', 'RT') and (ended_hurt or status is not null or coalesce(live_code in ('Sus', 'DNR', 'IR', 'PUP', 'NA', 'Out'), false)) group by 1 having count(*) >= 2"""
+cte("line_ctx", LINE_CTX.format("line_chart"), ("line_chart", "line_avail"))
+cte("nation_line_ctx", LINE_CTX.format("nation_chart"), ("nation_chart", "line_avail"))
 
 
-def line_tables(spark, d):
+def line_tables(spark, d, nations=False):
+    """A chart of all suppliers, who is unavailable, and their names.
+
+    Teams are the suppliers of a nation among 250 keys that follow each other, about ten, all of them starters. With
+    ``nations`` a team is a nation, of whose suppliers at a position the first one starts.
+    """
     s, k = A.table(spark, d, "supplier"), F.col("s_suppkey")
-    # a chart has a few men a team, however many entities there are
-    first = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    chart = s.withColumn("__n", first).where(F.col("__n") <= 10).select(F.col("s_nationkey").cast("int").alias("team"), k.alias("player_id"), F.lit("1").alias("depth_team"),
-                     F.when(k % 5 == 0, "LT").when(k % 5 == 1, "LG").when(k % 5 == 2, "C").when(k % 5 == 3, "RG").otherwise("QB").alias("depth_position"))
+    position = F.when(k % 5 == 0, "LT").when(k % 5 == 1, "LG").when(k % 5 == 2, "C").when(k % 5 == 3, "RG").otherwise("QB")
+    team = F.col("s_nationkey").cast("int") if nations else F.col("s_nationkey").cast("long") + F.floor(k / 250) * 25
+    chart = s.select(team.alias("team"), k.alias("player_id"), position.alias("depth_position"))
+    if nations:
+        chart = O.row_numbers(chart, ["team", "depth_position"], [F.col("player_id")], "place").withColumn("depth_team", F.col("place").cast("string"))
+    else:
+        chart = chart.withColumn("depth_team", F.lit("1"))
     avail = s.select(k.alias("player_id"), (k % 3 == 0).alias("ended_hurt"), F.when(k % 4 == 0, "on PUP").alias("status"),
                      F.when(k % 7 == 0, "IR").when(k % 7 == 1, "Questionable").alias("live_code"))
     return chart, avail, s.select(k.alias("player_id"), F.col("s_name").alias("full_name"))

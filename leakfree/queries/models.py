@@ -1,5 +1,8 @@
 """Model and distribution operators (M1-M18, P23)."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -172,7 +175,7 @@ def m7(spark, d):
 
 
 MATCH_SLOTS = L.Slots({"QB": 1, "RB": 2, "WR": 2, "TE": 1}, {"FLEX": 1})
-DRAWS = 40
+SPAN, FREQUENCIES = 8000.0, 1024
 
 
 def lineups(spark, d):
@@ -192,22 +195,36 @@ cte("mp2", f"select *, coalesce(s1, case when free and frn <= 1 then 'FLEX' end)
 cte("mlineup", "select season || '-' || week || '-' || (team // 2) as matchup_id, case when team % 2 = 0 then 'a' else 'b' end as side, player_id, position, pred from mp2 where slot is not null", ("mp2",))
 
 
+_T = f"((2 * {{0}}k + 1) * (pi() / {SPAN}::double))"
+
+
 @query("m8_win_probability", sql(f"""
 , placed as (select l.*, case when p.position is not null then l.position else '*' end as cp, case when p.position is not null then l.bin else -1 end as cb from (
     select m.*, {BIN} as bin from mlineup m left join hedges using (position)) l left join (select position, bin from pool where idx = 0) p on p.position = l.position and p.bin = l.bin),
-sims as (select x.matchup_id, x.side, x.draw, x.pred + p.residual as outcome from (
-    select pl.*, s.n, r.draw, least(floor((('0x' || substr(md5(pl.player_id || '|' || r.draw), 1, 8))::bigint / 4294967295.0::double) * s.n)::bigint, s.n - 1) as i
-    from placed pl join (select position, bin, n from pool where idx = 0) s on s.position = pl.cp and s.bin = pl.cb, range({DRAWS}) as r(draw)) x
-  join pool p on p.position = x.cp and p.bin = x.cb and p.idx = x.i),
-tot as (select matchup_id, draw, sum(case when side = 'a' then outcome else 0.0 end) as a, sum(case when side = 'b' then outcome else 0.0 end) as b from sims group by all)
-select t.matchup_id, {even('avg(case when a > b then 1.0::double when a = b then 0.5::double else 0.0::double end)', 4)} as win_prob_a, {q6('avg(a)')} as sim_mean_a, {q6('avg(b)')} as sim_mean_b,
-  {q6('quantile_cont(a, 0.1)')} as a_p10, {q6('quantile_cont(b, 0.9)')} as b_p90, {q6('stddev_pop(a - b)', 4)} as margin_std from tot t group by 1""", "mlineup", "pool", "hedges").replace(")\n, placed", "),\nplaced"))
+counted as (select position, bin, residual as r, count(*) as c from pool group by all),
+waves as (select position, bin, k, sum(c * cos({_T.format('')} * r)) as re, sum(c * sin({_T.format('')} * r)) as im, sum(c) as n from counted, range({FREQUENCIES}) as f(k) group by all),
+cells as (select position, bin, k, ln(greatest(sqrt(re * re + im * im) / n, 1e-300)) as lm, atan2(im, re) as an from waves),
+moments as (select position, bin, avg(residual) as m, var_pop(residual) as v from pool group by all),
+sides as (select p.matchup_id, p.side, c.k, sum(c.lm) as lm, sum({_T.format('c.')} * p.pred + c.an) as an from placed p join cells c on c.position = p.cp and c.bin = p.cb group by all),
+total as (select p.matchup_id, p.side, sum(p.pred + m.m) as mean, sum(m.v) as v from placed p join moments m on m.position = p.cp and m.bin = p.cb group by all),
+shapes as (select matchup_id, side, list(struct_pack(k := k, lm := lm, an := an) order by k) as cf from sides group by all),
+halved as (
+  select matchup_id, side, q.p, mean - {SPAN / 2} as lo, mean + {SPAN / 2} as hi, 0 as i from total join (values ('a', 0.1::double), ('b', 0.9::double)) q(side, p) using (side)
+  union all
+  select matchup_id, side, p, case when below then mid else lo end, case when below then hi else mid end, i + 1 from (
+    select h.*, (lo + hi) / 2 as mid, 0.5 - 2 / pi() * list_sum(list_transform(s.cf, lambda x: exp(x.lm) * sin(x.an - {_T.format('x.')} * ((lo + hi) / 2)) / (2 * x.k + 1))) < h.p as below
+    from halved h join shapes s using (matchup_id, side) where i < {MU.HALVINGS})),
+quantiles as (select matchup_id, side, (lo + hi) / 2 as x from halved where i = {MU.HALVINGS}),
+both_sides as (select matchup_id, k, sum(lm) as lm, sum(case when side = 'a' then an else -an end) as an from sides group by all),
+wins as (select matchup_id, 0.5 + 2 / pi() * sum(exp(lm) * sin(an) / (2 * k + 1)) as w from both_sides group by all)
+select w.matchup_id, {even('w.w', 4)} as win_prob_a, {q6('coalesce(a.mean, 0.0)')} as sim_mean_a, {q6('coalesce(b.mean, 0.0)')} as sim_mean_b, {q6('coalesce(qa.x, 0.0)')} as a_p10, {q6('coalesce(qb.x, 0.0)')} as b_p90,
+  {q6('sqrt(coalesce(a.v, 0.0) + coalesce(b.v, 0.0))', 4)} as margin_std
+from wins w left join total a on a.matchup_id = w.matchup_id and a.side = 'a' left join total b on b.matchup_id = w.matchup_id and b.side = 'b'
+left join quantiles qa on qa.matchup_id = w.matchup_id and qa.side = 'a' left join quantiles qb on qb.matchup_id = w.matchup_id and qb.side = 'b'""", "mlineup", "pool", "hedges").replace(")\n, placed", "),\nplaced").replace("with ", "with recursive ", 1))
 def m8(spark, d):
-    from ..plans.matchup import independent_draws, residual_pools, win_statistics
-
     players = lineups(spark, d)
-    edges, pools = residual_pools(history(spark, d))
-    w = win_statistics(independent_draws(players, edges, pools, DRAWS))
+    edges, pools = MU.residual_pools(history(spark, d))
+    w = MU.exact_win_statistics(players, edges, pools, SPAN, FREQUENCIES)
     return w.select("matchup_id", "win_prob_a", *[r6(c).alias(c) for c in ("sim_mean_a", "sim_mean_b", "a_p10", "b_p90")], r6("margin_std", 4).alias("margin_std"))
 
 
@@ -218,11 +235,13 @@ def m8b(spark, d):
     return MU.win_probability(MU.correlated_draws(players, edges, pools, 200, block=100), players)
 
 
-STATS = {"passing_yards": "QB", "passing_tds": "QB", "receiving_yards": "WR TE RB", "receptions": "WR TE RB", "rushing_yards": "RB QB WR"}
+# The markets and the positions they are offered for.
+STATS = {"passing_yards": ("QB",), "passing_tds": ("QB",), "receiving_yards": ("WR", "TE", "RB"), "receptions": ("WR", "TE", "RB"),
+         "rushing_yards": ("RB", "QB", "WR")}
 cte("stats", " union all ".join(
     f"select player_id, season, week, '{m}' as market, {m} as actual, avg({m}) over w as stat_r3, avg({m}) over w5 as stat_r5 from weekly "
     f"where true window w as (partition by player_id order by season, week rows between 3 preceding and 1 preceding), w5 as (partition by player_id order by season, week rows between 5 preceding and 1 preceding) "
-    f"qualify position in ({', '.join(repr(x) for x in who.split())})" for m, who in STATS.items()), ("weekly",))
+    f"qualify position in ({', '.join(repr(x) for x in who)})" for m, who in STATS.items()), ("weekly",))
 cte("stat_pred", f"select *, {q6('pred0')} as pred from (select *, 0.6::double * coalesce(stat_r3, stat_r5) + 0.4::double * coalesce(stat_r5, stat_r3) as pred0 from stats where stat_r3 is not null)", ("stats",))
 cte("lines", """
 select player_id, season, week, market, floor(pred) + 0.5 + ((player_id + week) % 5 - 2) as line, cast(case when player_id % 3 = 0 then 105 + week else -105 - week end as double) as over_odds,
@@ -384,11 +403,40 @@ def m12b(spark, d):
     return SE.prior_anchor(frame, starting).select("player_id", "tseason", r6("anchor").alias("anchor"))
 
 
-def entrants(spark, d, season=1997):
-    return RK.rookie_projection(A.draft_picks(spark, d), A.seasons(spark, d), season)
-
-
-@query("m13_pick_curve")
+cte("caps", """
+select gsis_id as player_id, season, pick::double as pick, position, pfr_player_name as player, case team when 'GNB' then 'GB' when 'KAN' then 'KC' when 'SFO' then 'SF' when 'TAM' then 'TB' else team end as team,
+  case when pick <= 40 then 0 when pick <= 120 then 1 else 2 end as tier from picks""", ("picks",))
+# isotonic regression in closed form: the least over left ends of the greatest over right ends of the weighted means between them
+cte("pick_means", """
+select t.season as target, c.pick, avg(s.fp) as y, count(*)::double as w from (select distinct season from caps) t join caps c on c.season < t.season
+join seasons s on s.player_id = c.player_id and s.season = c.season group by all""", ("caps", "seasons"))
+cte("pick_sums", "select *, sum(w * y) over o as sy, sum(w) over o as sw from pick_means window o as (partition by target order by pick rows unbounded preceding)", ("pick_means",))
+cte("pick_best", """
+select target, low, pick, max(m) over (partition by target, low order by pick desc rows unbounded preceding) as m
+from (select a.target, a.pick as low, b.pick, (b.sy - a.sy + a.w * a.y) / (b.sw - a.sw + a.w) as m from pick_sums a join pick_sums b on a.target = b.target and a.pick <= b.pick)""", ("pick_sums",))
+cte("pick_fit", "select target, pick, min(m) as f from pick_best group by target, pick", ("pick_best",))
+cte("pick_asked", """
+select p.target, p.pick, max(f.pick) filter (f.pick <= p.pick) as pl, arg_max(f.f, f.pick) filter (f.pick <= p.pick) as fl, min(f.pick) filter (f.pick >= p.pick) as ph, arg_min(f.f, f.pick) filter (f.pick >= p.pick) as fh
+from (select distinct m.target, c.pick from caps c, (select distinct target from pick_means) m where c.season <= m.target) p join pick_fit f on f.target = p.target group by all""", ("caps", "pick_fit"))
+cte("pick_curve", "select target, pick, greatest(case when fl is null then fh when fh is null or ph = pl then fl else fl + (fh - fl) * (pick - pl) / (ph - pl) end, 0.0) as proj from pick_asked", ("pick_asked",))
+cte("tier_ratio", """
+select v.target, c.tier, sum(coalesce(s.fp, 0.0)) / greatest(sum(v.proj), 1.0) as ratio from pick_curve v join caps c on c.season < v.target and c.pick = v.pick
+left join seasons s on s.player_id = c.player_id and s.season = c.season where c.season >= (select min(season) from seasons) group by all""", ("pick_curve", "caps", "seasons"))
+cte("entrants", f"""
+select c.season, c.player_id, c.player, c.position, c.team, c.pick, {even('v.proj * coalesce(r.ratio, 1.0)', 1)} as proj from caps c join pick_curve v on v.target = c.season and v.pick = c.pick
+left join tier_ratio r on r.target = c.season and r.tier = c.tier""", ("caps", "pick_curve", "tier_ratio"))
+
+
+def entrants(spark, d):
+    """Every class of entrants that has one before it, projected from the earlier classes."""
+    picks, s = A.draft_picks(spark, d), A.seasons(spark, d)
+    seen = picks.join(s.select(F.col("player_id").alias("gsis_id"), "season"), ["gsis_id", "season"]).agg(F.min("season")).first()[0]
+    classes = sorted(r.season for r in picks.select("season").distinct().collect() if seen is not None and r.season > seen)
+    out = [RK.rookie_projection(picks, s, year).withColumn("season", F.lit(year)) for year in classes]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query("m13_pick_curve", sql("select * from entrants", "entrants"))
 def m13(spark, d):
     return entrants(spark, d)
 
@@ -472,6 +520,12 @@ def m18(spark, d):
     return t.select("season", "n", *[r6(c).alias(c) for c in ("model_spearman", "lastyear_spearman", "model_mae")])
 
 
-@query("m18_backtest_rookies")
+@query("m18_backtest_rookies", sql(f"""
+, met as (select e.season, e.proj, s.fp from entrants e join seasons s using (player_id, season)),
+ranked as (select *, rank() over (partition by season order by proj) + (count(*) over (partition by season, proj) - 1) / 2.0::double as ra,
+  rank() over (partition by season order by fp) + (count(*) over (partition by season, fp) - 1) / 2.0::double as rb from met)
+select season, count(*) as n, {q6('case when count(*) >= 3 and max(proj) > min(proj) and max(fp) > min(fp) then corr(ra, rb) end')} as rookie_spearman,
+  {q6('case when count(*) >= 3 then avg(abs(proj - fp)) end')} as rookie_mae from ranked group by season""", "entrants", "seasons").replace(")\n, met", "),\nmet"))
 def m18b(spark, d):
-    return RK.backtest_rookies(entrants(spark, d, 1997), A.seasons(spark, d), 1997)
+    out = RK.backtest_rookies(stored(entrants(spark, d)), A.seasons(spark, d))
+    return out.withColumns({c: r6(c) for c in ("rookie_spearman", "rookie_mae")})

@@ -351,6 +351,18 @@ def p27(spark, d):
     return seasons_started(w, wanted)
 
 
+@query("p27_calendar_fallback", """
+with c as (select max(case when month(o_orderdate) >= 9 then year(o_orderdate) else year(o_orderdate) - 1 end) as now from orders)
+select distinct (year(o_orderdate) + 1)::int as season, year(o_orderdate) + 1 <= (select now from c) as started from orders""")
+def p27b(spark, d):
+    from ..operators.joins import seasons_started
+
+    day = F.col("o_orderdate")
+    orders = A.table(spark, d, "orders")
+    wanted = orders.select((F.year(day) + 1).alias("season")).distinct()
+    return seasons_started(None, wanted, orders.agg(F.max(E.season_label(day))).scalar())
+
+
 RHO_SQL = """
 case when list_sort([a.recent_team, a.opponent_team]) <> list_sort([b.recent_team, b.opponent_team]) then 0.0
   when a.recent_team = b.recent_team then

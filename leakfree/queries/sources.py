@@ -9,7 +9,8 @@ from ..session import scratch_path
 from ..sources import contracts as C
 from ..sources import provenance as PV
 from ..sources import scans as S
-from ..sources.registry import DATASETS
+from ..sources.registry import DATASETS, Dataset
+from ..sources.versions import VersionedParts
 from ..streaming import refresh as ST
 from .base import cte, even, query, sql
 from .projections import letter_key_sql
@@ -224,11 +225,11 @@ def s12(spark, d):
 @query("s13_publish", sql("select player_id, season, fp, games from seasons", "seasons"))
 def s13(spark, d):
     s = A.seasons(spark, d).select("player_id", "season", "fp", "games")
-    path = scratch_path(spark, "lake")
-    PV.publish(s.withColumn("fp", F.lit(0.0)), path)
-    PV.publish(s.where(F.col("season") < 1998), path)
-    PV.publish(s.where(F.col("season") >= 1998), path)
-    return spark.read.parquet(path).select("player_id", "season", "fp", "games")
+    lake = VersionedParts(spark, scratch_path(spark, "lake"), ["season"])
+    lake.replace(s.withColumn("fp", F.lit(0.0)))
+    lake.replace(s.where(F.col("season") < 1998))
+    lake.replace(s.where(F.col("season") >= 1998))
+    return lake.read(s.schema)
 
 
 def published(spark, d):
@@ -261,6 +262,23 @@ def s15(spark, d):
     return PV.pending_files(listing, manifest, "season", 2001).select("season").distinct()
 
 
+@query("s15_ingest", sql("select player_id, season, fp, games from seasons where season % 4 <> 0", "seasons"))
+def s15b(spark, d):
+    s, root = A.seasons(spark, d).select("player_id", "season", "fp", "games"), scratch_path(spark, "ingested")
+    dataset = Dataset("seasons", True, frozenset({"player_id", "season", "fp"}), (frozenset({"games", "weeks"}),))
+
+    def read(season):
+        if season % 8 == 0:
+            raise OSError("unreadable")
+        return s.where(F.col("season") == season - (season % 4 == 0))  # the wrong season breaks the contract
+
+    seasons = sorted(r.season for r in s.select("season").distinct().collect())
+    failures = PV.ingest([(dataset, y, lambda y=y: read(y)) for y in seasons], root)
+    if {name for name, _ in failures} != {f"seasons_{y}" for y in seasons if y % 4 == 0}:
+        raise RuntimeError(f"unexpected failures: {failures}")
+    return spark.read.parquet(f"{root}/seasons").select("player_id", "season", "fp", "games")
+
+
 @query("s16_backfill", sql("select season, count(*) as rows, 'backfilled_from_file_mtime' as provenance from seasons where season >= 1998 group by season", "seasons"))
 def s16(spark, d):
     path = published(spark, d)
@@ -306,8 +324,6 @@ def s19(spark, d):
 def st1(spark, d):
     events = A.table(spark, d, "events")
     landing, target, checkpoint = (scratch_path(spark, n) for n in ("landing", "streamed", "checkpoint"))
-    from ..sources.registry import Dataset
-
     dataset = Dataset("events", True, frozenset({"season", "player_id"}))
     # every season is spread over several files, which arrive in batches of their own and in two runs
     for run in range(2):

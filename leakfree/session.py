@@ -142,6 +142,11 @@ def stored(df: DataFrame, name: str = "stage", partition: str | None = None) ->
     return out
 
 
+def once(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` as a table, for who reads it several times; what ``stored`` made is one already."""
+    return df if "stage_path" in vars(df) else stored(df, name)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the table of ``df`` if ``stored`` made it; nothing may read it any more."""
     if (path := vars(df).get("stage_path")) is not None:

@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import hashlib
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.ordered import null_safe_join
 from ..session import scratch_path
 from .contracts import NORMALIZERS, ContractError, validate
 from .registry import CONTRACT_VERSION, Dataset
+from .versions import PublishError
 
+STREAMED = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+CHUNK = 8 << 20
 MANIFEST_KEY = ["path", "bytes", "modified", "contract_version"]
 
 
-class PublishError(RuntimeError):
-    """The rows read back differ from the rows written."""
-
-
 def publish(df: DataFrame, path: str, partition: str | Sequence[str] | None = "season") -> int:
     """Write to a staging table, count it, replace the affected partitions, and count those again.
 
     The rows written are observed while writing, so the source is read once. The replacement is a
     dynamic partition overwrite: seasons that are not in the frame stay as they are. It is not one
-    transaction: after a :class:`PublishError`, or a crash in between, publish again.
+    transaction: after a :class:`PublishError`, or a crash in between, publish again. Where readers must never see a mix,
+    use :class:`~leakfree.sources.versions.VersionedParts`.
     """
     spark = df.sparkSession
     parts = [partition] if isinstance(partition, str) else list(partition or [])
@@ -54,11 +59,42 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+def digests(files: DataFrame) -> DataFrame:
+    """``files`` (with ``path``) and the SHA-256 of each file's bytes.
+
+    A file is read by one task, a chunk at a time, through the file systems that pyarrow knows (local, HDFS, S3, GCS, Azure).
+    Files of another kind are read by Spark, whole, and are then limited to what a row holds.
+    """
+    kept = files.schema.names
+    schema = StructType([*files.schema, StructField("sha256", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_digest(p) for p in batch.column("path").to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.string())], names=[*kept, "sha256"])
+
+    known = F.split_part("path", F.lit(":"), F.lit(1)).isin(*STREAMED)
+    streamed = files.where(known).repartition("path").mapInArrow(run, schema)
+    whole = files.where(~known)
+    if whole.isEmpty():
+        return streamed
+    paths = [r.path for r in whole.select("path").collect()]
+    content = files.sparkSession.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+    return streamed.unionByName(whole.join(content, "path", "left").select(*kept, "sha256"))
+
+
+def _digest(path: str) -> str:
+    system, where = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    found = hashlib.sha256()
+    with system.open_input_stream(where) as stream:
+        while chunk := stream.read(CHUNK):
+            found.update(chunk)
+    return found.hexdigest()
+
+
 def provenance(spark: SparkSession, path: str, dataset: str, source: str, how: str = "download") -> DataFrame:
     """One manifest row per file: size, time, digest, rows, columns, season and contract version."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.parquet").load(path).select(
-        "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    files = digests(list_files(spark, path))
     data = spark.read.parquet(path)
     season = F.min("season").cast("int") if "season" in data.columns else F.lit(None).cast("int")
     rows = data.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"), season.alias("season"))

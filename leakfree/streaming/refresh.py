@@ -10,14 +10,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import folder_stamp
 from ..sources.contracts import validate
 from ..sources.provenance import publish
 from ..sources.registry import Dataset
+from ..sources.versions import VersionedParts
 
-BATCH = "batch"
+BUCKET, BUCKETS = "key_bucket", 64
 FILE = "source_file"
 
 
@@ -68,41 +68,34 @@ def latest_by_key(stream: DataFrame, key: Sequence[str], order: Sequence[str]) -
     return stream.groupBy(*key).agg(newest).select(*key, "__v.*")
 
 
-class SnapshotTable:
-    """The newest row per key, kept as one version per micro-batch.
+class LatestTable:
+    """The newest row per key, in hash buckets of the key.
 
-    A batch merges into the newest version before it, so repeating a batch after a failure writes the
-    same version again.
+    A batch rewrites only the buckets its keys fall into, so what is written grows with the batch and not with the table. All
+    buckets of a batch become current at once. Merging a batch again, after a failure, changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str]):
-        self.spark, self.path, self.key, self.order = spark, path, list(key), list(order)
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: Sequence[str], order: Sequence[str], buckets: int = BUCKETS):
+        self.key, self.order, self.buckets = list(key), list(order), buckets
+        self.columns = schema.names
+        self.schema = StructType([*schema, StructField(BUCKET, IntegerType())])
+        self.parts = VersionedParts(spark, path, [BUCKET])
 
-    def versions(self) -> list[int]:
-        """Complete versions in storage, by the markers of finished writes; no data is read.
-
-        A version without its marker is a write that broke off: its batch is repeated. A version that is
-        marked but cannot be read fails the merge, it is never taken for an empty state.
-        """
-        names = [n.partition("/") for n, _, _ in folder_stamp(self.spark, self.path)]
-        return sorted(int(d.removeprefix(f"{BATCH}=")) for d, _, f in names if f == "_SUCCESS" and d.startswith(f"{BATCH}="))
-
-    def _version(self, n: int) -> str:
-        return f"{self.path.rstrip('/')}/{BATCH}={n}"
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        earlier = [v for v in self.versions() if v < batch_id]
-        rows = batch
-        if earlier:
-            rows = self.spark.read.parquet(self._version(max(earlier))).unionByName(batch)
-        latest_by_key(rows, self.key, self.order).write.mode("overwrite").parquet(self._version(batch_id))
+    def merge(self, batch: DataFrame, batch_id: int = 0) -> None:
+        if batch.isEmpty():
+            return
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        new = batch.select(*self.columns).withColumn(BUCKET, bucket)
+        touched = [f"{BUCKET}={r[0]}" for r in new.select(BUCKET).distinct().collect()]  # at most the buckets
+        rows = self.parts.read(self.schema, touched).unionByName(new)
+        self.parts.replace(latest_by_key(rows, [*self.key, BUCKET], self.order).select(*self.schema.names))
 
     def current(self) -> DataFrame:
-        return self.spark.read.parquet(self._version(max(self.versions())))
+        return self.parts.read(self.schema).select(*self.columns)
 
 
-def upsert_latest(stream: DataFrame, path: str, key: Sequence[str], order: Sequence[str], checkpoint: str) -> SnapshotTable:
-    """Run the stream into a :class:`SnapshotTable`; ``checkpoint`` must be the same folder in every run."""
-    table = SnapshotTable(stream.sparkSession, path, key, order)
+def upsert_latest(stream: DataFrame, path: str, key: Sequence[str], order: Sequence[str], checkpoint: str, buckets: int = BUCKETS) -> LatestTable:
+    """Run the stream into a :class:`LatestTable`; ``checkpoint`` and ``buckets`` must be the same in every run."""
+    table = LatestTable(stream.sparkSession, path, stream.schema, key, order, buckets)
     run_available(stream, table.merge, checkpoint)
     return table

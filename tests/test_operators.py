@@ -331,6 +331,46 @@ def test_bootstrap_equals_a_direct_resample(spark):
     assert again.first() == M.bootstrap_mean(df, "v", ["i"], resamples=50).first()
 
 
+def test_stacked_ranks_equal_single_ones(spark):
+    from leakfree.operators import ordered as O
+
+    rnd = np.random.default_rng(1)
+    data = [(i, ["a", "b", None][i % 3], float(rnd.integers(9)) if i % 7 else None, int(rnd.integers(5))) for i in range(90)]
+    df = spark.createDataFrame(data, "i int, g string, x double, y int")
+    for method in ("min", "average"):
+        for down in (True, False):
+            got = O.stacked_ranks(df, {"rx": (["g"], "x"), "ry": ([], "y")}, down, method)
+            want = O.competition_rank(O.competition_rank(df, ["g"], "x", "rx", down, method), [], "y", "ry", down, method)
+            assert rows(got, *want.columns) == rows(want)
+
+
+def test_resamples_draw_n_rows_and_do_not_depend_on_the_layout(spark, monkeypatch):
+    draw = M.hashed_draw(3)
+    for n in (1, 5, 700, M.PART + 40):
+        parts = [np.hstack(list(draw(40, 9, n, first, min(M.PART, n - first)))) for first in range(0, n, M.PART)]
+        counts = np.hstack(parts)
+        assert counts.shape == (40, n) and (counts.sum(axis=1) == n).all()
+    counts = np.hstack(list(draw(4000, 1, 5, 0, 5)))
+    assert abs(counts.mean(axis=0) - 1).max() < 0.06 and abs(counts.var(axis=0) - 0.8).max() < 0.1
+    for n in (1, 6, 12, 35):
+        want = [[sum((b * 7919 + i * 104729 + b * i * 31 + 11) % n == j for i in range(n)) for j in range(n)] for b in range(60)]
+        assert np.hstack(list(M.arithmetic_draw(11)(60, 0, n, 0, n))).tolist() == want
+    monkeypatch.setattr(M, "PART", 64)
+    df = spark.range(300).selectExpr("id as i", "if(id % 3 = 0, null, 'x') as g", "double(id % 7) as v")
+    a, b = (sorted(map(tuple, M.bootstrap_mean(df.repartition(p), "v", ["i"], ["g"], resamples=200).collect()), key=str) for p in (1, 13))
+    assert a == b and len(a) == 2 and all(r[3] < r[2] < r[4] for r in a)
+
+
+def test_sweep_intervals_pair_slots_and_share_resamples(spark):
+    rows = [(f, s, k, 1 + (s + k + int(f * 4)) % 12, (s + k) % 12 == 0) for f in (0.0, 0.5) for s in range(4) for k in range(12)]
+    df = spark.createDataFrame(rows, "fraction double, season int, slot int, place int, won boolean")
+    got = {(r.fraction, r.metric): r for r in M.sweep_intervals(df, resamples=300).collect()}
+    assert len(got) == 9 and all(r.n == 48 and r.n_clusters == 4 for r in got.values())
+    assert got[0.5, "title_rate_delta"].low == got[0.5, "title_rate_delta"].high == 0.0
+    delta = np.mean([b[3] - a[3] for a, b in zip(rows[:48], rows[48:], strict=True)])
+    assert got[0.5, "mean_finish_delta"].estimate == pytest.approx(delta)
+
+
 def test_standings_settle_ties_on_the_bench(spark):
     matches = spark.createDataFrame([(0, 0, 1)], "p int, team_a int, team_b int")
     scores = spark.createDataFrame([(0, 0, 50.0, 10.0), (0, 1, 50.0, 20.0)], "p int, team int, score double, bench double")

@@ -115,6 +115,32 @@ def test_draws_are_fair_and_reproducible(spark, pools):
     assert r == MU.win_probability(MU.independent_draws(players, edges, pool, 2000), players).first()
 
 
+def test_exact_win_statistics_equal_the_convolution(spark):
+    import itertools
+
+    import numpy as np
+
+    history = [(i, 2023, 1, ("QB", "WR")[i % 2], 10.0, float(r)) for i, r in enumerate([-8, -3, 0, 2, 5, 9, -6, -1, 1, 4, 11, 3])]
+    edges, pool = MU.residual_pools(spark.createDataFrame(history, "player_id int, season int, week int, position string, pred double, residual double"))
+    drawn = {p: [h[5] for h in history if p in (h[3], "*")] for p in ("QB", "WR")}
+    drawn["*"] = [h[5] for h in history]
+    side = {"a": [("QB", 10.5), ("WR", 9.0)], "b": [("WR", 12.5), ("??", 8.0)]}
+    rows_ = [("m", s, i, p, "A", "B", v) for i, (s, (p, v)) in enumerate((s, x) for s in side for x in side[s])] + [("alone", "a", 9, "QB", "A", "B", 3.0)]
+    players = spark.createDataFrame(rows_, "matchup_id string, side string, player_id int, position string, recent_team string, opponent_team string, pred double")
+    got = {r.matchup_id: r for r in MU.exact_win_statistics(players, edges, pool, 400.0, 20000).collect()}
+
+    def totals(s):
+        return [sum(v for _, v in side[s]) + sum(x) for x in itertools.product(*[drawn[p if p in drawn else "*"] for p, _ in side[s]])]
+
+    a, b = np.array(totals("a")), np.array(totals("b"))
+    margin = a[:, None] - b[None, :]
+    assert got["m"].win_prob_a == pytest.approx((margin > 0).mean() + (margin == 0).mean() / 2, abs=1e-3)
+    assert (got["m"].sim_mean_a, got["m"].sim_mean_b) == pytest.approx((a.mean(), b.mean())) and got["m"].margin_std == pytest.approx(margin.std())
+    assert (a <= got["m"].a_p10 + 0.1).mean() >= 0.1 >= (a < got["m"].a_p10 - 0.1).mean()
+    assert (b <= got["m"].b_p90 + 0.1).mean() >= 0.9 >= (b < got["m"].b_p90 - 0.1).mean()
+    assert got["alone"].sim_mean_b == got["alone"].b_p10 == 0.0 and got["alone"].sim_mean_a == pytest.approx(3.0 + np.mean(drawn["QB"]))
+
+
 def test_stacks_have_wider_totals(spark, pools):
     edges, pool = pools
     spread = {}

@@ -1,7 +1,6 @@
 import datetime as dt
 import hashlib
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from leakfree.sources import contracts as C
 from leakfree.sources import provenance as PV
 from leakfree.sources import scans as S
 from leakfree.sources.registry import DATASETS, Dataset
+from leakfree.sources.versions import VersionedParts
 from leakfree.streaming import refresh as ST
 
 from conftest import by, rows
@@ -152,20 +152,51 @@ def test_a_season_in_several_batches_and_runs_keeps_all_rows(spark, runs):
         ST.refresh_lake(ST.file_stream(spark, landing, schema), target, SEASONAL, scratch_path(spark, "ckpt"), lambda b: b.drop("source_file"))
 
 
-def test_a_broken_version_is_an_error_and_an_unfinished_one_is_repeated(spark):
-    path = scratch_path(spark, "snapshot")
-    table = ST.SnapshotTable(spark, path, ["k"], ["ts"])
-    batch = spark.createDataFrame([(1, 1)], "k int, ts int")
-    assert table.versions() == []
-    table.merge(batch, 0)
-    spark.createDataFrame([("x",)], "other string").write.text(f"{path}/batch=1")
-    assert table.versions() == [0, 1]
-    with pytest.raises(Exception):
-        table.merge(batch, 2)
-    os.remove(f"{path.removeprefix('file:')}/batch=1/_SUCCESS")
-    assert table.versions() == [0]
-    table.merge(spark.createDataFrame([(2, 5)], "k int, ts int"), 2)
-    assert rows(table.current()) == [(1, 1), (2, 5)]
+def test_a_replacement_is_seen_whole_or_not_at_all(spark, monkeypatch):
+    path = scratch_path(spark, "versions")
+    lake = VersionedParts(spark, path, ["season", "team"])
+    schema = "v int, season int, team string"
+    assert lake.current() == {} and rows(lake.read(schema)) == []
+    assert lake.replace(spark.createDataFrame([(1, 2022, "a/b"), (2, 2022, None), (3, 2023, "x")], schema)) == 3
+    assert rows(lake.read(schema), "v", "season", "team") == [(1, 2022, "a/b"), (2, 2022, None), (3, 2023, "x")]
+
+    def broken(self, fresh):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(VersionedParts, "_rename", broken)
+        with pytest.raises(OSError, match="lost"):
+            lake.replace(spark.createDataFrame([(7, 2022, "a/b"), (8, 2023, "x")], schema))
+    assert rows(lake.read(schema), "v") == [(1,), (2,), (3,)]
+    assert lake.replace(spark.createDataFrame([(7, 2022, "a/b"), (9, 2024, "x")], schema)) == 2
+    assert rows(lake.read(schema), "v") == [(2,), (3,), (7,), (9,)]
+    assert lake.replace(spark.createDataFrame([], schema)) == 0
+    assert lake.clean() == 3 and rows(lake.read(schema), "v") == [(2,), (3,), (7,), (9,)]
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
+    schema = spark.createDataFrame([], "k int, ts int, v int").schema
+    table = ST.LatestTable(spark, scratch_path(spark, "latest"), schema, ["k"], ["ts"], 16)
+    table.merge(spark.createDataFrame([(k, 1, k) for k in range(200)], schema))
+    before = table.parts.current()
+    batch = spark.createDataFrame([(3, 2, -3), (3, 0, -9), (777, 1, 5)], schema)
+    for _ in range(2):  # a batch that is repeated changes nothing
+        table.merge(batch, 1)
+        after = table.parts.current()
+        assert len(before) == 16 and 1 <= sum(after[b] != before[b] for b in before) <= 2
+        assert rows(table.current()) == sorted([(k, 1, k) for k in range(200) if k != 3] + [(3, 2, -3), (777, 1, 5)])
+
+
+def test_digests_read_files_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(PV, "CHUNK", 100)
+    path = scratch_path(spark, "digested")
+    spark.range(5000).repartition(3).write.parquet(path)
+    got = PV.provenance(spark, path, "demo", "src").collect()
+    assert len(got) == 3
+    for r in got:
+        assert r.sha256 == hashlib.sha256(open(r.path.removeprefix("file://"), "rb").read()).hexdigest() and r.bytes > 500
+    plan = PV.digests(PV.list_files(spark, path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan.split("Relation")[0]
 
 
 def test_a_bad_batch_changes_nothing(spark):
@@ -173,6 +204,5 @@ def test_a_bad_batch_changes_nothing(spark):
     spark.createDataFrame([(1, 2022)], "v int, season int").write.parquet(landing)
     with pytest.raises(Exception, match="expected one of"):
         ST.refresh_lake(ST.file_stream(spark, landing, "v int, season int"), target, SEASONAL, scratch_path(spark, "ckpt"))
-    from leakfree.streaming.refresh import SnapshotTable
-
-    assert SnapshotTable(spark, target, ["v"], ["v"]).versions() == []
+    with pytest.raises(Exception):
+        spark.read.parquet(target)
