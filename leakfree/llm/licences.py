@@ -37,8 +37,6 @@ _PROSE = ("notices?|holders?|owners?|ownership|laws?|licen[cs]es?|interests?|sta
           "patents?|lines?|also|those|are|doctrines?|like|representations")
 _NOTICE = rf"[^\p{{L}}\p{{N}}]*+(?!(?:{_PROSE})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]"
 COPYRIGHT_LINE = rf"^[^\p{{L}}\p{{N}}(©]*(copyright(?![\p{{L}}\p{{N}}])({_NOTICE}|.*(©|\(c\)))|©|\(c\){_NOTICE}|all rights reserved)"
-_SQL_COPYRIGHT_LINE = r"^[^\p{L}\p{N}(©]*(copyright|©|\(c\)|all rights reserved)"
-"""Of the SQL text, which was left as it was; no document of the given tables tells the two apart."""
 
 # Published licence texts and notices by identifier.
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -185,20 +183,37 @@ def _oracle() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    spaced = (f"' ' || regexp_replace(array_to_string(list_filter(string_split(lower(text), chr(10)), "
-              f"lambda x: not regexp_matches(x, '{_SQL_COPYRIGHT_LINE}')), ' ' || chr(10) || ' '), '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g') || ' '")
+    head, gap, end = r"^[^\p{L}\p{N}(©]*", r"[^\p{L}\p{N}]", r"([^\p{L}\p{N}]|$)"
+
+    def notice(word: str, gaps: str) -> str:
+        """A notice: the word or sign and behind it a word that is not prose. This engine has no lookahead, hence two conditions."""
+        return (f"(regexp_matches(x, '{head}{word}{gaps}[\\p{{L}}\\p{{N}}]') "
+                f"and not regexp_matches(x, '{head}{word}{gaps}({_PROSE}){end}'))")
+
+    dropped = " or ".join([
+        f"regexp_matches(x, '{head}(©|all rights reserved)')", f"regexp_matches(x, '{head}copyright((©|\\(c\\))|{gap}.*(©|\\(c\\)))')",
+        notice("copyright", f"{gap}+"), notice("\\(c\\)", f"{gap}*")])
+    spaced = (f"' ' || regexp_replace(array_to_string(list_filter(string_split(lower(text), chr(10)), lambda x: not ({dropped})), "
+              f"' ' || chr(10) || ' '), '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g') || ' '")
     for a, b in EQUIVALENT:
         spaced = f"replace({spaced}, ' {a} ', ' {b} ')"
 
     def plain(x: str) -> str:
         return f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
 
-    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
+    def entire(x: str) -> str:
+        out = f"regexp_replace({x}, '[ \\n]+', '  ', 'g')"
+        for a, b in EQUIVALENT:
+            if " " in a:
+                out = f"replace({out}, ' {a} ', ' {b} ')"
+        return plain(out)
+
+    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in known_texts())
     return f"""
 with raw(license, text) as (values {values}),
-known as (select sha256(form) as digest, min(license) as license from (select license, {plain(spaced)} as form from raw) where form <> '' group by 1),
+known as (select sha256(form) as digest, min(license) as license from (select license, {entire('s')} as form from (select license, {spaced} as s from raw)) where form <> '' group by 1),
 spaced as (select doc_id, {spaced} as s from documents),
-whole as (select doc_id, {plain('s')} as form from spaced),
+whole as (select doc_id, {entire('s')} as form from spaced),
 lines as (select doc_id, unnest(list_transform(string_split(s, chr(10)), lambda x: {plain('x')})) as form from spaced)
 select w.doc_id, 'text' as unit, w.digest, k.license, 1::bigint as n
 from (select doc_id, case when form <> '' then sha256(form) end as digest from whole) w left join known k on w.digest = k.digest

@@ -76,3 +76,22 @@ def test_every_published_text_is_known_at_any_width(spark):
     got = {r.doc_id: r.license for r in L.op3_licences(df).where("unit = 'text'").collect()}
     missed = {(n, k) for k, _, n in rows if got[k] != n}
     assert {n for _, _, n in rows} >= {*L.TEXTS, "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later"} and missed == set()
+
+
+def test_wrapped_texts_and_notices_equal_sql(spark):
+    """The SQL text has all known texts, and drops and joins the same lines."""
+    import duckdb
+
+    rows = [(i, "Copyright (c) 2020 Somebody, Ltd.\n\n" + "\n\n".join(textwrap.fill(" ".join(p.split()), 64) for p in t.split("\n\n")))
+            for i, (_, t) in enumerate(L.known_texts()) if i % 9 == 0]
+    lines = ["Copyright 2020 X", "copyright notice and this", "COPYRIGHT HOLDERS BE LIABLE", "copyright holders (c)", "(c) the licence", "(c) 2020 bar", "©",
+             "copyright", "copyright: or", "copyright(c)x", "copyrighted 2020", "all rights reserved.", "* (c)", "per\ncent of non-\ncommercial", "copyright - laws", "copyright lawson"]
+    rows += [(1000 + i, x) for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = L.op3_licences(df)
+    problem, *_ = compare(got, con, L.ORACLE)
+    assert problem is None
+    assert {r.license for r in got.where("unit = 'text'").collect()} >= {"Apache-2.0", "GPL-3.0-only", "MPL-2.0"}
