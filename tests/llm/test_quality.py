@@ -66,3 +66,27 @@ def test_languages_without_common_words_are_judged_by_characters(spark):
     more.append((-3, " ".join(rnd.choice(greek) + rnd.choice(greek) for _ in range(150)), "qq"))
     got = {r.doc_id: r for r in Q.op4_quality(docs.union(spark.createDataFrame(more, docs.schema))).where("doc_id < 0").collect()}
     assert all(r.kept for r in got.values()) and len(got) == 3
+
+
+def test_other_and_rare_labels_equal_sql(spark):
+    """Common, rare and unknown labels, nulls, repeated and long rows: the same verdicts as the SQL text."""
+    import random
+
+    import duckdb
+
+    rnd = random.Random(6)
+    rows, codes = [], ["en", "de", "fi", "ru", "xx", None]
+    for i in range(2400):
+        code = rnd.choice(codes) if i % 40 else f"rare{i % 7}"
+        words = list(Q.COMMON_WORDS.get(code, Q.COMMON_WORDS["pl"])) + ["слово", "Wort", "word", "x1", "#|", "12"]
+        rows.append((i, " ".join(rnd.choices(words, k=rnd.choice([3, 60, 130]))).replace(" x1", "\n"), code))
+    rows += [(None, "the of and " * 200, "en"), (5, None, "en"), (6, "", "rare9"), (7, " \n", None), (8, "Ω" * 500 + " " + "ω " * 200, "zz"), (9, "word " * 300_000, "en")]
+    rows += [rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as en", "2 as refs", "3 as own", "4 as shares")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    got = Q.op4_quality(df)
+    problem, n, *_ = compare(got, con, Q.ORACLE)
+    assert problem is None and n == len(rows)
+    assert 0.02 < got.where("kept").count() / n < 0.98
