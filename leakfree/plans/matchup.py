@@ -20,7 +20,7 @@ from ..operators.correlation import PASS_CATCHERS, RHO
 from ..operators.pools import bin_edges, inverse_cdf, ranked_pool, with_bins
 from ..session import stored
 
-HALVINGS = 45
+HALVINGS, NEGLIGIBLE = 45, -45.0
 CELL = ["position", "bin"]
 ALL = "*"
 
@@ -166,14 +166,16 @@ def exact_win_statistics(players: DataFrame, edges: DataFrame, pools: DataFrame,
     def quantile(p: float) -> Column:
         def halve(at: Column, _: Column) -> Column:
             mid = (at["lo"] + at["hi"]) / 2
-            below = 0.5 - total(F.col("cf"), lambda x: F.exp(x["lm"]) * F.sin(x["an"] - _frequency(span, x["k"]) * mid)) < p
-            return F.struct(F.when(below, mid).otherwise(at["lo"]).alias("lo"), F.when(below, at["hi"]).otherwise(mid).alias("hi"))
+            below = 0.5 - total(F.col("felt"), lambda x: F.exp(x["lm"]) * F.sin(x["an"] - _frequency(span, x["k"]) * mid)) < p
+            upper, lower = F.struct(mid.alias("lo"), at["hi"].alias("hi")), F.struct(at["lo"].alias("lo"), mid.alias("hi"))
+            return F.when(below, upper).otherwise(lower)  # the sum is evaluated once
 
         start = F.struct((F.col("mean") - span / 2).alias("lo"), (F.col("mean") + span / 2).alias("hi"))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)
-        return (found["lo"] + found["hi"]) / 2
+        return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda at: (at["lo"] + at["hi"]) / 2)
 
-    known = sides.withColumns({"p10": quantile(0.1), "p90": quantile(0.9)})
+    # what is far below the rounding of a double is left out of the bisection
+    felt = sides.withColumn("felt", F.filter("cf", lambda x: x["lm"] > NEGLIGIBLE))
+    known = felt.withColumns({"p10": quantile(0.1), "p90": quantile(0.9)}).drop("felt")
     side = {s: F.max(F.when(F.col("side") == s, F.struct("cf", "mean", "variance", "p10", "p90"))).alias(s) for s in "ab"}
     both = known.groupBy("matchup_id").agg(*side.values())
     waves_of = {s: F.coalesce(F.col(f"{s}.cf"), F.array().cast(known.schema["cf"].dataType)) for s in "ab"}
