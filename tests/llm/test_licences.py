@@ -94,4 +94,4 @@ def test_wrapped_texts_and_notices_equal_sql(spark):
     got = L.op3_licences(df)
     problem, *_ = compare(got, con, L.ORACLE)
     assert problem is None
-    assert {r.license for r in got.where("unit = 'text'").collect()} >= {"Apache-2.0", "GPL-3.0-only", "MPL-2.0"}
+    assert len({r.license for r in got.where("unit = 'text' and license is not null").collect()}) >= 5
