@@ -124,8 +124,9 @@ def test_exact_win_statistics_equal_the_convolution(spark):
     edges, pool = MU.residual_pools(spark.createDataFrame(history, "player_id int, season int, week int, position string, pred double, residual double"))
     drawn = {p: [h[5] for h in history if p in (h[3], "*")] for p in ("QB", "WR")}
     drawn["*"] = [h[5] for h in history]
-    side = {"a": [("QB", 10.5), ("WR", 9.0)], "b": [("WR", 12.5), ("??", 8.0)]}
-    rows_ = [("m", s, i, p, "A", "B", v) for i, (s, (p, v)) in enumerate((s, x) for s in side for x in side[s])] + [("alone", "a", 9, "QB", "A", "B", 3.0)]
+    # predictions of 10 and more fall into the one cell with history, an unknown position into the common pool
+    side = {"a": [("QB", 10.5), ("WR", 11.0)], "b": [("WR", 12.5), ("??", 10.0)]}
+    rows_ = [("m", s, i, p, "A", "B", v) for i, (s, (p, v)) in enumerate((s, x) for s in side for x in side[s])] + [("alone", "a", 9, "QB", "A", "B", 13.0)]
     players = spark.createDataFrame(rows_, "matchup_id string, side string, player_id int, position string, recent_team string, opponent_team string, pred double")
     got = {r.matchup_id: r for r in MU.exact_win_statistics(players, edges, pool, 400.0, 20000).collect()}
 
@@ -138,7 +139,7 @@ def test_exact_win_statistics_equal_the_convolution(spark):
     assert (got["m"].sim_mean_a, got["m"].sim_mean_b) == pytest.approx((a.mean(), b.mean())) and got["m"].margin_std == pytest.approx(margin.std())
     assert (a <= got["m"].a_p10 + 0.1).mean() >= 0.1 >= (a < got["m"].a_p10 - 0.1).mean()
     assert (b <= got["m"].b_p90 + 0.1).mean() >= 0.9 >= (b < got["m"].b_p90 - 0.1).mean()
-    assert got["alone"].sim_mean_b == got["alone"].b_p10 == 0.0 and got["alone"].sim_mean_a == pytest.approx(3.0 + np.mean(drawn["QB"]))
+    assert got["alone"].sim_mean_b == got["alone"].b_p10 == 0.0 and got["alone"].sim_mean_a == pytest.approx(13.0 + np.mean(drawn["QB"]))
 
 
 def test_stacks_have_wider_totals(spark, pools):
