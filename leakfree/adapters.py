@@ -90,12 +90,13 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity-period stats: supplier x month, one row per (player_id, season, week)."""
     a, n, r = (F.col("l_returnflag") == f for f in "ANR")
     line = F.col("l_linenumber")
+    keys = ["player_id", "season", "week"]
+    # the rows move before they are summed: a scan's task would hold most groups of its split, each many times as wide as a row
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("bigint").alias("player_id"), F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("week"),
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag").repartition(*keys)
     stats = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(
-            F.col("l_suppkey").cast("bigint").alias("player_id"),
-            F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("week"),
-        )
+        lines.groupBy(*keys)
         .agg(
             (F.sum("l_orderkey") % 25).cast("int").alias("opponent_team"),
             _qty(a).alias("passing_yards"), _count(a).alias("passing_tds"),

@@ -29,3 +29,11 @@ def test_stored_tables_keep_rows_and_prune_columns(spark):
     assert rows(again.select("k", "season")) == [(1, 2022), (2, 2023)]
     plan = again.where("season = 2022").select("k")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(season" in plan and "ReadSchema: struct<k:int>" in plan
+
+
+def test_weekly_rows_move_before_they_are_summed(spark, sf):
+    """A scan's task holds no groups: the first aggregate over lineitem lies above a shuffle."""
+    lines = A.weekly.__wrapped__(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, x in enumerate(lines) if "l_shipdate" in x and "Scan parquet" in x)
+    above = [next(n for n in ("Exchange", "Aggregate") if n in x) for x in reversed(lines[:scan]) if "Exchange" in x or "Aggregate" in x]
+    assert above[0] == "Exchange"
