@@ -15,6 +15,7 @@ from ..operators.ordered import group_quantiles
 from ..operators.ranking import top_k_by_table
 from ..operators.reshape import opponents
 from ..operators.rollups import last_home_value, opponent_quality, player_volume, points_allowed, room_shares, schedule_faced
+from ..session import once
 from .projection import GradientBoosting
 
 POSITIONS = ("QB", "RB", "WR", "TE")
@@ -141,7 +142,7 @@ def project_season(frame: DataFrame, target_season: int, starting: DataFrame | N
 
     wanted = [c for c in (columns or model_columns()) if c in frame.columns]
     model = model or GradientBoosting(wanted, "target_fp")
-    anchored = prior_anchor(frame, starting, schedule)
+    anchored = once(prior_anchor(frame, starting, schedule), "anchored")
     train = anchored.where((F.col("tseason") < target_season) & F.col("target_fp").isNotNull())
     model.fit(train)
     cohort = {"__pg": age_group("position"), "__ab": bin_index("age", AGE_EDGES)}
