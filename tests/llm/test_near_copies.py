@@ -89,3 +89,29 @@ def test_hashes_restate_the_sets():
         got = N.similarity(N.shingles(" ".join(a).encode()), N.shingles(" ".join(b).encode()))
         assert got == jaccard(" ".join(a), " ".join(b))
     assert len(N.shingles(None)) == len(N.shingles(b" \n")) == 0 and N.similarity(N.shingles(b""), N.shingles(None)) == 1.0
+
+
+def test_no_pair_is_checked_twice(spark, monkeypatch):
+    import random
+
+    from leakfree.llm import near_copies as module
+
+    rng, pairs = random.Random(3), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(4):
+            words[rng.randrange(150)] = f"w{rng.randrange(5000)}"
+        texts.append(" ".join(words))
+    stored = module.stored
+
+    def spy(df, name="stage", partition=None):
+        out = stored(df, name, partition)
+        if name in ("candidates", "new"):  # what the rounds hold against each other
+            pairs.append({(min(r["u"], r["v"]), max(r["u"], r["v"])) for r in out.select("u", "v").collect()})
+        return out
+
+    monkeypatch.setattr(module, "stored", spy)
+    module.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(pairs) > 1 and sum(map(len, pairs)) == len(set().union(*pairs))
