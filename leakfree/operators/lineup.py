@@ -13,6 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .ordered import ordered_prefix
+
 # Which positions a flexible slot takes, from narrow to wide.
 FLEX_CLASSES: dict[str, tuple[str, ...]] = {
     "WRTE": ("WR", "TE"),
@@ -105,6 +108,33 @@ def score_locked(roster: DataFrame, group: Sequence[str], projection: str, actua
     )
 
 
+def _leading(teams: DataFrame, marks: DataFrame, free_agents: DataFrame, keys: Sequence[str], pool: Sequence[str], value: str,
+             ident: str, top: int) -> DataFrame:
+    """The ``top`` best free agents of each position above, at and below each value of a team."""
+    group = [*pool, "__cpos"]
+    offered = free_agents.select(
+        *pool, F.col("position").alias("__cpos"), F.coalesce(F.col(value), F.lit(-1.0)).alias("__worth"), F.lit(1).alias("__kind"),
+        F.col(ident).alias("__cand"), F.col(value).alias("__cval"))
+    positions = stored(offered.select(*group).distinct(), "positions")
+    # a value stands once before (0) and once behind (2) the free agents (1) that are worth as much
+    none = [F.lit(None).cast(offered.schema[c].dataType).alias(c) for c in ("__cand", "__cval")]
+    values = marks.select(*pool, "__worth").distinct().join(positions, list(pool))
+    points = offered.unionByName(values.select(*group, "__worth", F.explode(F.array(F.lit(0), F.lit(2))).alias("__kind"), *none))
+    placed = stored(ordered_prefix(
+        points, group, [F.col("__worth").desc(), F.col("__kind").asc(), F.col("__cand").asc()], {"__at": (F.col("__kind") == 1).cast("long")}), "placed")
+    bounds = placed.where(F.col("__kind") != 1).select(*group, "__worth", "__kind", "__at")
+    # a team's intervals begin at the best free agent and at its values' places
+    first = teams.join(positions, list(pool)).select(
+        *keys, "__cpos", F.lit(None).cast("double").alias("__worth"), F.lit(-1).alias("__kind"), F.lit(0).cast("long").alias("__at"))
+    begins = first.unionByName(marks.join(bounds, [*pool, "__worth"]).select(*first.columns))
+    along = Window.partitionBy(*keys, "__cpos").orderBy("__at", F.col("__worth").desc_nulls_first(), "__kind")
+    until = F.coalesce(F.least(F.lead("__at").over(along), F.col("__at") + top), F.col("__at") + top)
+    numbers = begins.withColumn("__until", until).where(F.col("__until") > F.col("__at")).select(
+        *keys, "__cpos", F.explode(F.sequence(F.col("__at"), F.col("__until") - 1)).alias("__at"))
+    agents = placed.where(F.col("__kind") == 1).select(*group, "__at", "__cand", "__cval")
+    return numbers.join(agents, [*group, "__at"]).select(*keys, "__cand", "__cpos", "__cval")
+
+
 def marginal_gain(roster: DataFrame, free_agents: DataFrame, team: Sequence[str], pool: Sequence[str], value: str,
                   ident: str, slots: Slots = DEFAULT, top: int = 15, min_gain: float = 1e-6) -> DataFrame:
     """Free agents by how much each would add to a team's best lineup, and whom it would displace.
@@ -113,29 +143,23 @@ def marginal_gain(roster: DataFrame, free_agents: DataFrame, team: Sequence[str]
     pool is a candidate. Between two neighbouring values of the team's rows that can reach a slot, the
     slots a candidate of a position leads to do not depend on its value, so its gain grows with it: the
     ``top`` best of each position and interval contain the ``top`` best overall, whatever the slot
-    classes. Only those are tried; they are found row by row from a short array of the team's values and
-    cut to ``top`` before the shuffle. Each trial adds a candidate to the team's starters
-    and their runners-up, at most a few dozen rows.
+    classes. Only those are tried. The free agents of a position are numbered once for all teams, best first, and the values of
+    the teams are placed among them, so no free agent meets a team it is not tried for. Each trial adds a candidate to the team's
+    starters and their runners-up, at most a few dozen rows.
     """
     keys = [*pool, *team]
     order = [F.coalesce(F.col(value), F.lit(-1.0)).desc(), F.col(ident).asc()]
-    core = _prune(roster.select(*keys, ident, "position", value), keys, order, slots, "position")
+    core = stored(_prune(roster.select(*keys, ident, "position", value), keys, order, slots, "position"), "core")
     base = assign_slots(core, keys, value, ident, slots)
     base_totals = base.groupBy(*keys).agg(
         F.sum(value).alias("__base"), F.collect_set(ident).alias("__started"))
-    marks = core.groupBy(*keys).agg(F.collect_set(F.coalesce(F.col(value), F.lit(-1.0))).alias("__marks"))
-    teams = roster.select(*keys).distinct().join(marks, keys, "left")
-    offered = free_agents.select(*pool, F.col(ident).alias("__cand"), F.col("position").alias("__cpos"), F.col(value).alias("__cval"))
-    worth = F.coalesce("__cval", F.lit(-1.0))
-    above = F.coalesce(F.size(F.filter("__marks", lambda x: x > worth)), F.lit(0))
-    level = F.coalesce(F.array_contains("__marks", worth), F.lit(False))
-    best_first = Window.partitionBy(*keys, "__cpos", "__above", "__level").orderBy(worth.desc(), F.col("__cand").asc())
-    tried = (
-        teams.join(offered, list(pool)).withColumns({"__above": above, "__level": level}).drop("__marks")
-        .withColumn("__rn", F.row_number().over(best_first)).where(F.col("__rn") <= top))
-    added = tried.select(*keys, "__cand", F.col("__cand").alias(ident), F.col("__cpos").alias("position"), F.col("__cval").alias(value))
-    kept = tried.select(*keys, "__cand").join(core, keys)
-    augmented = kept.select(*added.columns).unionByName(added)
+    marks = core.select(*keys, F.coalesce(F.col(value), F.lit(-1.0)).alias("__worth")).distinct()
+    tried = stored(_leading(stored(roster.select(*keys).distinct(), "teams"), marks, free_agents, keys, pool, value, ident, top), "tried")
+    # a trial's rows are made where it is, so that only the candidates move
+    rosters = stored(core.groupBy(*keys).agg(F.collect_list(F.struct(ident, "position", value)).alias("__core")), "rosters")
+    own = F.array(F.struct(F.col("__cand").alias(ident), F.col("__cpos").alias("position"), F.col("__cval").alias(value)))
+    augmented = tried.repartition(*keys, "__cand").join(rosters, keys, "left").select(
+        *keys, "__cand", F.inline(F.concat(F.coalesce("__core", F.array().cast(rosters.schema["__core"].dataType)), own)))
     new = assign_slots(augmented, [*keys, "__cand"], value, ident, slots)
     new_totals = new.groupBy(*keys, "__cand").agg(F.sum(value).alias("__new"), F.collect_set(ident).alias("__now"))
     gains = (

@@ -10,6 +10,7 @@ from ..operators import ordered as Q
 from ..operators import ranking as R
 from ..operators import rollups as U
 from ..operators import trailing as T
+from ..session import stored
 from . import projections  # noqa: F401  (registers the scored rows)
 from .base import cte, even, q6, query, r6, sql
 
@@ -357,7 +358,7 @@ gains as (select s.season, s.week, s.team, s.cand, round(s.total - coalesce(b.to
 select season, week, team, cand as player, {q6('g')} as gain, replaces, place from (
   select *, cast(row_number() over (partition by season, week, team order by g desc, cand) as int) as place from gains where g > 1e-6) where place <= 5""", "lineup_rows"))
 def w20(spark, d):
-    rows = lineup_rows(spark, d).where(F.col("pred").isNotNull())
+    rows = stored(lineup_rows(spark, d).where(F.col("pred").isNotNull()).drop("fp"), "lineups")
     owned = (F.col("player_id") + F.col("week")) % 3 != 0
     free = rows.where(~owned).select("season", "week", "player", "position", "pred")
     got = L.marginal_gain(rows.where(owned), free, ["team"], ["season", "week"], "pred", "player", GAIN_SLOTS, top=5)

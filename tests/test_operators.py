@@ -261,6 +261,21 @@ def test_marginal_gain_equals_refilling(spark, slots):
         assert sorted(got.get(t, [])) == want
 
 
+def test_marginal_gain_meets_free_agents_once(spark, monkeypatch):
+    """Free agents are numbered once for all teams; what a team tries does not grow with the pool."""
+    kept, stored = {}, L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name="stage": kept.setdefault(name, stored(df, name)))
+    slots, teams, agents, top = L.Slots({"QB": 1, "RB": 1}, {}), 20, 3000, 2
+    roster = [(0, t, f"r{t}{p}", p, float(t * 100 + i)) for t in range(teams) for i, p in enumerate(("QB", "RB"))]
+    free = [(0, f"f{i:04d}", ("QB", "RB")[i % 2], i * 0.7) for i in range(agents)]
+    out = L.marginal_gain(
+        spark.createDataFrame(roster, "lg int, team int, player string, position string, pred double"),
+        spark.createDataFrame(free, "lg int, player string, position string, pred double"), ["team"], ["lg"], "pred", "player", slots, top=top)
+    assert len(out.collect()) == top * teams
+    assert kept["placed"].count() == agents + 2 * 2 * len({r[4] for r in roster})
+    assert kept["tried"].count() <= teams * 2 * (2 * 2 + 1) * top
+
+
 def test_score_board_values(spark):
     data = [(i, f"p{i}", p, float(v)) for i, (p, v) in enumerate([("QB", 300), ("QB", 250), ("RB", 200), ("RB", 150), ("RB", 100), ("WR", 180)])]
     df = spark.createDataFrame(data, "player_id int, player string, position string, proj double")
