@@ -26,6 +26,9 @@ SEGMENT_POSITION = {
 }
 
 
+PART_BYTES = 16 << 20
+"""How much of the fact table's files one partition of its rows may stand for."""
+
 #: By application, folder and frame: where the frame is, its schema, its files, and the stamp of its sources.
 _PUBLISHED: dict[tuple[str, str, str], tuple[str, StructType, tuple, tuple]] = {}
 
@@ -55,6 +58,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(df: DataFrame, spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Rows dealt by ``keys``, to more partitions than the session's number if that leaves more than ``PART_BYTES`` of ``path`` to each."""
+    parts = -(-sum(size for _, size, _ in folder_stamp(spark, path)) // PART_BYTES)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(parts, *keys)
+    return df.repartition(*keys)  # the planner may join small ones
+
+
 def code_of(c: str, codes: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), F.col(c))
 
@@ -94,9 +105,9 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the rows move before they are summed: a scan's task would hold most groups of its split, each many times as wide as a row
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").cast("bigint").alias("player_id"), F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("week"),
-        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag").repartition(*keys)
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
     stats = (
-        lines.groupBy(*keys)
+        dealt(lines, spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", keys).groupBy(*keys)
         .agg(
             (F.sum("l_orderkey") % 25).cast("int").alias("opponent_team"),
             _qty(a).alias("passing_yards"), _count(a).alias("passing_tds"),

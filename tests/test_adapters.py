@@ -37,3 +37,13 @@ def test_weekly_rows_move_before_they_are_summed(spark, sf):
     scan = next(i for i, x in enumerate(lines) if "l_shipdate" in x and "Scan parquet" in x)
     above = [next(n for n in ("Exchange", "Aggregate") if n in x) for x in reversed(lines[:scan]) if "Exchange" in x or "Aggregate" in x]
     assert above[0] == "Exchange"
+
+
+def test_weekly_rows_get_partitions_by_the_size_of_their_table(spark, sf, monkeypatch):
+    """A fixed number of partitions would make each task's groups grow with the input."""
+    want = rows(A.weekly(spark, sf))
+    monkeypatch.setattr(A, "PART_BYTES", -(-Path(f"{sf}/lineitem.parquet").stat().st_size // 37))
+    many = A.weekly.__wrapped__(spark, sf)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert ", 37), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(player_id") <= 2
+    assert rows(many.select(*A.weekly(spark, sf).columns)) == want
