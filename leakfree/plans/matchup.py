@@ -125,7 +125,9 @@ def cell_functions(pools: DataFrame, span: float, frequencies: int) -> DataFrame
 
     Equal residuals are counted first, and the sums over them are formed before anything is shuffled.
     """
-    values = pools.groupBy(*CELL, "residual").agg(F.count("*").alias("__c"))
+    # few bytes and much work: by the size of the table the planner would leave them to one task
+    spread = pools.sparkSession.sparkContext.defaultParallelism
+    values = pools.groupBy(*CELL, "residual").agg(F.count("*").alias("__c")).repartition(spread, "residual")
     k, r, c = F.explode(F.sequence(F.lit(0), F.lit(frequencies - 1))).alias("k"), F.col("residual"), F.col("__c")
     t = _frequency(span) * r
     sums = values.select(*CELL, "residual", "__c", k).groupBy(*CELL, "k").agg(
