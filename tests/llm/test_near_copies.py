@@ -115,3 +115,12 @@ def test_no_pair_is_checked_twice(spark, monkeypatch):
     monkeypatch.setattr(module, "stored", spy)
     module.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert len(pairs) > 1 and sum(map(len, pairs)) == len(set().union(*pairs))
+
+
+def test_bands_of_few_components_have_all_of_them_meet(spark):
+    """A band leads with texts of several components in one round, each of another one; a band of one component has no leader."""
+    rows = [(1, d, d // 2) for d in range(6)] + [(2, d, d) for d in range(9)] + [(3, d, 7) for d in range(5)]
+    got = [tuple(r) for r in N._leaders(spark.createDataFrame(rows, "b long, d long, c long"), 1).select("b", "v", "vc").collect()]
+    assert {(b, vc) for b, _, vc in got if b == 1} == {(1, 0), (1, 1), (1, 2)} and all((b, v, vc) in rows for b, v, vc in got)
+    assert sum(b == 2 for b, _, _ in got) == len({vc for b, _, vc in got if b == 2}) == N.LEADERS
+    assert not any(b == 3 for b, _, _ in got)

@@ -55,3 +55,16 @@ def test_shuffle_files_go_with_the_table_they_were_for(spark):
     while left() > 1 and time.time() < deadline:  # files go in the background; the count's own may stay
         time.sleep(0.2)
     assert left() <= 1 and spark.conf.get(setting) == was
+
+
+def test_a_block_bounds_the_files_of_its_tables(spark):
+    """Inner blocks too; no row is lost and the bound ends with the block."""
+    def files(df):
+        return len(list(Path(df.stage_path.removeprefix("file:")).glob("part-*")))
+
+    many = spark.range(0, 100, 1, 8)
+    with scratch(spark, files=2), scratch(spark) as inner:
+        few, kept = stored(many), inner.keep(many)
+        assert files(few) == files(kept) == 2 and few.count() == kept.count() == 100
+    with scratch(spark):
+        assert files(stored(many)) == 8
