@@ -10,6 +10,7 @@ none is left, marking the position in a bit field as one that no token ends at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _BLOCK = 1 << 10
 _NEVER = float("-inf")
-_CACHE, _CACHE_CHARS, _PAIRS = 1 << 17, 48, 1 << 18
+_CACHE, _CACHE_CHARS, _PAIRS = 1 << 18, 48, 1 << 19
 
 
 #: A match: the piece's length, its id, and the match of the longest shorter piece that it starts with.
@@ -202,6 +203,12 @@ class MergeEncoder:
             return self.library.decode(ids)
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(model: bytes) -> MergeEncoder:
+    """The encoder of a worker, whose tables and bounded caches serve one task after another; Spark ends workers that are idle for a minute."""
+    return MergeEncoder(model)
+
+
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids, decoded): the token ids of every whole text with an end id, and the text they decode to.
 
@@ -214,7 +221,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
     schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = MergeEncoder(model.value)  # goes with the task, so that idle workers hold no cache
+        enc = kept_encoder(model.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from leakfree.llm import pieces
 from leakfree.llm.pieces import MergeEncoder, encode_decode, op9_sentencepiece
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,3 +56,20 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     assert (1, [2], "") in got and (None, [2], "") in got and len(got) == 4
     assert sum(g[2] == "a b" for g in got) == 2
     assert encode_decode(df.limit(0), PATH).count() == 0
+
+
+def test_tasks_of_a_worker_share_an_encoder_with_bounded_caches(library, monkeypatch):
+    """A second task does not start anew; caches that are full and turned over change nothing."""
+    with open(PATH, "rb") as f:
+        model = f.read()
+    shared = pieces.kept_encoder(model)
+    assert pieces.kept_encoder(bytes(bytearray(model))) is shared
+    monkeypatch.setattr(pieces, "_CACHE", 5)
+    monkeypatch.setattr(pieces, "_PAIRS", 7)
+    rnd = random.Random(5)
+    for _ in range(2):
+        for _ in range(300):
+            t = " ".join("".join(rnd.choices("abcdetion", k=rnd.randrange(9))) for _ in range(12))
+            assert shared.encode(t) == library.encode(t, add_eos=True)
+            assert len(shared.cache) <= 5 and len(shared.older) <= 5 and len(shared.pairs) <= 7
+    pieces.kept_encoder.cache_clear()
