@@ -147,9 +147,13 @@ def _split(radius: int):
 
 
 def _sized(keys: DataFrame) -> DataFrame:
-    """The rows of buckets of two and more, with the bucket's size."""
+    """The rows of buckets of two and more, with the bucket's size.
+
+    Both sides are shuffled: the planner takes the tables of a fingerprint for as large as the fingerprint, and would send all of them
+    to the driver.
+    """
     counts = keys.groupBy("t", "masked").agg(F.count("*").alias("n")).where("n > 1")
-    return stored(keys.join(counts, ["t", "masked"]), "buckets")
+    return stored(keys.hint("merge").join(counts, ["t", "masked"]), "buckets")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:

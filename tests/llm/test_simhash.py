@@ -112,3 +112,18 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
     edges = path + [(5, i) for i in range(6, 200)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got[i] for i in range(300, 401)} == {300} and {got[i] for i in range(5, 200)} == {5} and 3 not in got
+
+
+def test_tables_of_fingerprints_are_never_sent_to_the_driver(spark, monkeypatch):
+    """A fingerprint has 31 tables, which the planner takes for as large as the fingerprint; only the planner's own size is small here."""
+    plans, stored = [], S.stored
+
+    def spy(df, name="stage", partition=None):
+        if name == "buckets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name, partition)
+
+    monkeypatch.setattr(S, "stored", spy)
+    fps = stored(spark.range(300).selectExpr("id * 7919 as fp"), "distinct")
+    assert S.links(fps).count() > 0
+    assert plans and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
