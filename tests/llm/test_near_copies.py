@@ -124,3 +124,31 @@ def test_bands_of_few_components_have_all_of_them_meet(spark):
     assert {(b, vc) for b, _, vc in got if b == 1} == {(1, 0), (1, 1), (1, 2)} and all((b, v, vc) in rows for b, v, vc in got)
     assert sum(b == 2 for b, _, _ in got) == len({vc for b, _, vc in got if b == 2}) == N.LEADERS
     assert not any(b == 3 for b, _, _ in got)
+
+
+def test_near_copies_that_share_crowded_bands_only(spark):
+    """Two near copies among many texts of one long passage, whose common bands all hold many of those, need not meet a leader."""
+    rnd = random.Random(11)
+
+    def fresh(n):
+        return [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+
+    def bands(words):
+        return set(N.bands_of(N.minima_of(N.shingles(" ".join(words).encode()))))
+
+    common = fresh(150)
+    family = [common + fresh(42) for _ in range(400)]
+    held = [bands(words) for words in family]
+    twins = []
+    while len(twins) < 3:
+        own = fresh(44)
+        one, two = common + own[:23] + own[23:], common + own[:23] + fresh(19)
+        shared = bands(one) & bands(two)
+        crowded = all(sum(b in h for h in held) >= 60 for b in shared)
+        if 0 < len(shared) < 4 and crowded and (fingerprint(" ".join(one).encode(), 5) ^ fingerprint(" ".join(two).encode(), 5)).bit_count() > 4:
+            twins.append((one, two))
+    texts = [" ".join(words) for words in [*family, *[w for pair in twins for w in pair]]]
+    want = brute_near_copies(dict(enumerate(texts)))
+    assert all(want[401 + 2 * n] == 400 + 2 * n for n in range(3))
+    got = N.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    assert {r.key: r.component for r in got.collect()} == want
