@@ -152,3 +152,19 @@ def test_near_copies_that_share_crowded_bands_only(spark):
     assert all(want[401 + 2 * n] == 400 + 2 * n for n in range(3))
     got = N.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
     assert {r.key: r.component for r in got.collect()} == want
+
+
+def test_bands_are_never_sent_to_the_driver(spark, monkeypatch):
+    """A text has 20 bands, which the planner takes for one."""
+    plans, keep = [], N.Scratch.keep
+
+    def spy(self, df, name="kept"):
+        if name == "bands":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, name)
+
+    monkeypatch.setattr(N.Scratch, "keep", spy)
+    texts = [(n, " ".join(f"w{n // 2}x{i}" for i in range(40))) for n in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.key: r.component for r in N.near_copies(docs).collect()} == {n: n - n % 2 for n in range(20)}
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
